@@ -26,6 +26,12 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def arrow_batches(spark: SparkSession, rows: int = 2000, size: str = "16m") -> None:
+    """Bounds what a Python worker is sent at once, as texts may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

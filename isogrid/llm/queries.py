@@ -6,9 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import mixing, quality_rules
+from .mixing import op6_mixing
+from .quality_rules import op3_quality_rules
 from .suffix_dedup import op1_suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op3_quality_rules": op3_quality_rules,
+    "op6_mixing": op6_mixing,
+}
+ORACLES: dict[str, str] = {
+    "op3_quality_rules": quality_rules.ORACLE,
+    "op6_mixing": mixing.ORACLE,
 }
-ORACLES: dict[str, str] = {}
