@@ -41,12 +41,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import materialize, scratch, table
+from ._util import arrow_batches, materialize, scratch, table
 
 ROW = "core long, ext long, doc long, place long, part int, mk int"
 SCHEMA = pa.schema([("core", pa.int64()), ("ext", pa.int64()), ("doc", pa.int64()), ("place", pa.int64()), ("part", pa.int32()), ("mk", pa.int32())])
 LATER, OPEN, HOT, MARK, GUARD = 0, 1, 2, 3, 4  # kinds of rows, in the low bits of mk
 PIECE = 8
+SLICE = 2_000_000  # bytes that are named at a time
+EXTENTS = 10_000  # extents that are named at a time
 HOT_CLASSES = 8
 P = 0x9E3779B97F4A7C15
 P_INV = pow(P, -1, 1 << 64)
@@ -140,7 +142,7 @@ def _combine(core: np.ndarray, ext: np.ndarray, doc: np.ndarray, place: np.ndarr
     return _rows(np.r_[core, core[hot]], np.r_[ext, ~core[hot]], np.r_[doc, doc[hot]], np.r_[place, place[hot]], part, np.r_[mk, np.full(len(hot), MARK)])
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], size: int = 12_000_000) -> Iterator[tuple[np.ndarray, list, list, int]]:
+def _chunks(batches: Iterator[pa.RecordBatch], size: int = SLICE) -> Iterator[tuple[np.ndarray, list, list, int]]:
     """Texts as bytes, doc_ids and the row number of the first, up to about size bytes at a time; a longer text is one chunk."""
     row, start, held, ids, total = 0, 0, [], [], 0
     for b in batches:
@@ -175,15 +177,14 @@ def first_round(gram: int, threshold: int):
         part, crc = TaskContext.get().partitionId(), 0
         for off, texts, ids, start in _chunks(batches):
             crc = _guard(crc, off, ids)
-            buf = np.frombuffer(b"".join(texts), np.uint8)
-            names = Names(buf)
-            at, first, count, d = _winnow(buf, off, names, gram, threshold)
-            core = names.of(at, at + gram)
-            ext = _offset_mix(names.of(first, first + count - 1 + threshold), at - first, count)
-            place = ((start + d) << 31) | (first - off[d])
-            for i in range(0, max(1, len(at)), 1 << 20):
-                s = slice(i, i + (1 << 20))
-                yield _combine(core[s], ext[s], _doc_ids(ids)[d[s]], place[s], count[s], part)
+            whole, own = np.frombuffer(b"".join(texts), np.uint8), _doc_ids(ids)
+            for a in range(0, len(whole), SLICE):  # overlapping, so that each window lies in one slice
+                buf = whole[a : a + SLICE + threshold - 1]
+                names = Names(buf)
+                at, first, count, d = _winnow(buf, np.clip(off - a, 0, len(buf)), names, gram, threshold)
+                core = names.of(at, at + gram)
+                ext = _offset_mix(names.of(first, first + count - 1 + threshold), at - first, count)
+                yield _combine(core, ext, own[d], ((start + d) << 31) | (first + a - off[d]), count, part)
         z = np.zeros(1, np.uint64)
         yield _rows(z + np.uint64(part), z, np.zeros(1, np.int64), np.array([crc], np.int64), part, np.array([GUARD]))
 
@@ -195,8 +196,7 @@ def next_round(folder: str, gram: int, threshold: int, single: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        opened = _extents(folder, part)
-        place, mk = opened
+        place, mk = _extents(folder, part)
         keep = (mk & 7) == OPEN
         place, count = place[keep], mk[keep] >> 3
         if not len(place):
@@ -207,27 +207,23 @@ def next_round(folder: str, gram: int, threshold: int, single: bool):
             a, b = np.searchsorted(row_of, [start, start + len(texts)])
             if a == b:
                 continue
-            used = np.unique(row_of[a:b]) - start
-            sub = _offsets([texts[i] for i in used])
-            buf = np.frombuffer(b"".join([texts[i] for i in used]), np.uint8)
-            names = Names(buf)
-            d = np.searchsorted(used, row_of[a:b] - start)
-            first = sub[d] + (place[a:b] & 0x7FFFFFFF)
-            n = count[a:b]
-            if single:
-                rep = np.repeat(np.arange(len(first)), n)
-                w = first[rep] + np.arange(len(rep)) - np.repeat(np.cumsum(n) - n, n)
-                half = threshold // 2
-                core, ext, size = names.of(w, w + half), names.of(w + half, w + threshold), np.ones(len(w), np.int64)
-            else:
-                # the gram that these windows chose: again by the least hash, so that pieces lie at fixed offsets from it
-                core, ext, w, size, rep = _pieces(names, first, n, gram, threshold)
-            dd = d[rep]
-            at = ((start + used[dd]) << 31) | (w - sub[dd])
-            own = _doc_ids(ids)[used[dd]]
-            for i in range(0, len(w), 1 << 20):
-                s = slice(i, i + (1 << 20))
-                yield _combine(core[s], ext[s], own[s], at[s], size[s], part)
+            own = _doc_ids(ids)
+            for i in range(a, b, EXTENTS):
+                p, n = place[i : min(b, i + EXTENTS)], count[i : min(b, i + EXTENTS)]
+                d, at = (p >> 31) - start, p & 0x7FFFFFFF
+                # the bytes of the extents, and as many before and after as hold the gram that they chose
+                x0, x1 = np.maximum(at - threshold, 0), np.minimum(at + n - 1 + 2 * threshold, np.diff(off)[d])
+                buf = np.frombuffer(b"".join([texts[k][u:v] for k, u, v in zip(d.tolist(), x0.tolist(), x1.tolist())]), np.uint8)
+                base = np.cumsum(x1 - x0) - (x1 - x0)
+                names, first = Names(buf), base + at - x0
+                if single:
+                    rep = np.repeat(np.arange(len(n)), n)
+                    w = first[rep] + np.arange(len(rep)) - np.repeat(np.cumsum(n) - n, n)
+                    half = threshold // 2
+                    core, ext, size = names.of(w, w + half), names.of(w + half, w + threshold), np.ones(len(w), np.int64)
+                else:
+                    core, ext, w, size, rep = _pieces(names, first, n, gram, threshold)
+                yield _combine(core, ext, own[d[rep]], ((start + d[rep]) << 31) | (at[rep] + w - first[rep]), size, part)
 
     return run
 
@@ -349,26 +345,19 @@ def _removed(folders: list[str], threshold: int):
         for off, texts, ids, start in _chunks(batches):
             crc = _guard(crc, off, ids)
             a, b = np.searchsorted(row_of, [start, start + len(texts)])
-            first = off[row_of[a:b] - start] + (place[a:b] & 0x7FFFFFFF)
-            n = int(off[-1])
-            depth = np.bincount(first, minlength=n + 1) - np.bincount(first + count[a:b] - 1 + threshold, minlength=n + 1)
-            gone = np.cumsum(depth)[:n] > 0
+            d = row_of[a:b] - start
+            first = off[d] + (place[a:b] & 0x7FFFFFFF)
+            reach = np.maximum.accumulate(first + count[a:b] - 1 + threshold)
+            new = np.r_[True, (first[1:] > reach[:-1]) | (d[1:] != d[:-1])] if a < b else np.zeros(0, bool)
+            run0, run1, d = first[new], reach[np.r_[new[1:], True]] if a < b else reach, d[new]
+            sizes = np.diff(np.c_[np.r_[0, run1], np.r_[run0, off[-1]]].ravel())
+            gone = np.repeat(np.arange(len(sizes)) % 2 == 1, sizes)
             buf = np.frombuffer(b"".join(texts), np.uint8)
-            # maximal runs, cut at the documents' ends
-            edge = np.r_[False, gone[1:] != gone[:-1]] if n else np.zeros(0, bool)
-            cuts = off[1:-1]
-            edge[cuts[cuts < n]] = True
-            bounds = np.r_[0, np.flatnonzero(edge), n] if n else np.zeros(1, int)
-            bounds = np.unique(bounds)
-            run0, run1 = bounds[:-1], bounds[1:]
-            on = gone[run0] if n else np.zeros(0, bool)
-            run0, run1 = run0[on], run1[on]
-            d = np.searchsorted(off, run0, "right") - 1
             lists = np.r_[0, np.cumsum(np.bincount(d, minlength=len(texts)))].astype(np.int32)
             spans = pa.ListArray.from_arrays(pa.array(lists), pa.StructArray.from_arrays([pa.array(run0 - off[d]), pa.array(run1 - off[d])], names=["start", "end"]))
-            left = buf[~gone]
-            at = np.r_[0, np.cumsum(~gone)][off]
-            whole = left.tobytes()
+            whole = buf[~gone].tobytes()
+            lost = np.bincount(d, weights=run1 - run0, minlength=len(texts)).astype(np.int64)
+            at = off - np.r_[0, np.cumsum(lost)]
             kept = pa.array([whole[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.diff(off)), kept, spans], names=["doc_id", "n_bytes", "kept", "removed"])
         if guard != [crc]:
@@ -382,6 +371,7 @@ def remove_repeats(docs: DataFrame, threshold: int = 100, gram: int | None = Non
     gram = gram or max(1, threshold * 2 // 5)
     if not 1 <= gram <= threshold or threshold % 2:
         raise ValueError("gram must lie within an even threshold")
+    arrow_batches(docs.sparkSession)
     docs = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
     if not stable:
         docs = materialize(docs, "suffix-input")
