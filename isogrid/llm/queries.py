@@ -7,14 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import mixing, quality_rules
+from .decontaminate import op8_decontaminate
 from .mixing import op6_mixing
 from .quality_rules import op3_quality_rules
+from .sharding import op10_sharding
+from .simhash import op7_simhash
 from .suffix_dedup import op1_suffix_dedup
+from .warc import op5_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op3_quality_rules": op3_quality_rules,
+    "op5_warc": op5_warc,
     "op6_mixing": op6_mixing,
+    "op7_simhash": op7_simhash,
+    "op8_decontaminate": op8_decontaminate,
+    "op10_sharding": op10_sharding,
 }
 ORACLES: dict[str, str] = {
     "op3_quality_rules": quality_rules.ORACLE,
