@@ -67,14 +67,15 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for b in batches:
         texts = b.column(1).cast(pa.binary()).to_pylist()
         prints = np.array([fingerprint(t or b"") for t in texts], np.uint64)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
+        whole = np.array([xxhash.xxh64_intdigest(t or b"", 42) for t in texts], np.uint64)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints.view(np.int64)), pa.array(whole.view(np.int64))], names=["doc_id", "fp", "text_hash"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the fingerprint's 64 bits as a long)."""
+    """doc_id, fp (the fingerprint's 64 bits as a long), text_hash (as Spark's xxhash64 of the text, null as empty)."""
     arrow_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_fingerprints, "doc_id long, fp long")
+    return rows.mapInArrow(_fingerprints, "doc_id long, fp long, text_hash long")
 
 
 def _byte(x: Column, k: int) -> Column:
@@ -130,22 +131,23 @@ def links(prints: DataFrame, long_list: int = 512) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, long_list: int = 512) -> DataFrame:
-    """doc_id, fp and component_id, the smallest doc_id that links reach."""
+    """doc_id, fp, text_hash, root (one fingerprint of the component) and component_id, the smallest doc_id that links reach."""
     rows = materialize(fingerprints(docs), "simhash-prints")
     by_print = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     roots = components(links(by_print.select("fp"), long_list), "simhash-components")
     member = by_print.join(roots, by_print.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    # fingerprints with other ones linked to them, or none: the id by fingerprint, then by document; a frequent print is split by adaptive skew joins
-    ids = member.join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
+    # a frequent fingerprint's documents are split by adaptive skew joins
+    ids = member.join(least, "root").select(F.col("fp").alias("_fp"), "root", "component_id")
     return rows.join(ids, rows.fp == F.col("_fp"), "left").drop("_fp")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents without those that have a near-duplicate with a smaller doc_id; of rows with one doc_id, one stays."""
-    found = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    stay = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return stay.dropDuplicates(["doc_id"])
+    """One document of each component, that with the smallest doc_id (of several with it, that with the least hash of its text)."""
+    first = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("text_hash").alias("_hash"), F.first("doc_id").alias("_id"))
+    own = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    stay = docs.withColumn("_own", own).join(first.select("_id", "_hash"), (F.col("_own") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    return stay.dropDuplicates(["doc_id", "_own"]).drop("_own")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
