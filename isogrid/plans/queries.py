@@ -299,10 +299,10 @@ def runs_sql(marks: str, key: str) -> str:
 
 @query("mask_rle", runs_sql(fx.MARKS, "block"))
 def mask_rle(spark, sf):
-    return masks.encode(fx.marks(spark, sf), ("block",))
+    return masks.encode(fx.marks(spark, sf), ("block",)).select("block", F.col("start").cast("long"), "len")
 
 
-@query("mask_rle_blocks", runs_sql(f"SELECT block_idx, pos, CASE WHEN value = 0 THEN 'zero' ELSE 'nodata' END AS kind, value IN (0, -9999) AS mask FROM ({BLOCKS})", "block_idx, kind"))
+@query("mask_rle_blocks", runs_sql(f"SELECT block_idx, pos, CASE WHEN value = 0 THEN 'zero' ELSE 'nodata' END AS kind, value IN (0, -9999) AS mask FROM ({BLOCKS})", "block_idx, kind").replace("min(pos)", "min(pos)::BIGINT"))
 def mask_rle_blocks(spark, sf):
     v = F.col("value")
     marked = masked_blocks(spark, sf).select("block_idx", "pos", F.when(v == 0, "zero").otherwise("nodata").alias("kind"), v.isin(0.0, -9999.0).alias("mask"))
