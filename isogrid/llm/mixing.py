@@ -76,24 +76,27 @@ def plan(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, slopes: tuple[flo
     return rows.withColumn("position", invert(F.least(F.col("_u"), F.lit(1.0)), F.col("_slope"))).drop("_passes", "_place", "_cum")
 
 
+RESULTS = ("source_size", "target", "taken", "copies", "position")
+
+
 def mix(docs: DataFrame, **how) -> DataFrame:
     """All columns of the documents but the text, with their part in the mix. The sizes are written once, the texts read once."""
-    return plan(materialize(sized(docs).drop("text"), "mix-sizes"), **how)
+    return plan(materialize(sized(docs.drop(*RESULTS)).drop("text"), "mix-sizes"), **how)
 
 
 def emit(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: each document as often as it is taken, range-sorted by training position."""
-    rows = sized(docs)
-    p = plan(materialize(rows.select("doc_id", "source", "size", "_h"), "mix-sizes"), **how)
+    """The mix itself: each document as often as it is taken, range-sorted by training position. All columns as they were."""
+    rows = sized(docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "source", "text"))
     keys = ["doc_id", "source", "size"]
-    # rows that agree in these are told apart by nothing that the plan uses: their numbers of copies are shared out in any order
-    number = Window.partitionBy(*keys).orderBy("_u")
-    p = p.withColumn("_r", F.row_number().over(number)).select(*[F.col(k).alias(f"_p_{k}") for k in keys], "_r", "_u", "_ahead", "_slope", "copies").filter("copies > 0")
-    rows = rows.drop("_h").withColumn("_r0", F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("text"))))
+    p = plan(materialize(rows.select(*keys, "_h"), "mix-sizes"), **how)
+    # rows that agree in these keys differ in nothing that the plan uses, so their places are given out in any order
+    p = p.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("_u"))).filter("copies > 0")
+    p = p.select(*[F.col(k).alias(f"_p_{k}") for k in keys], "_r", "_u", "_ahead", "_slope", "copies")
+    rows = rows.withColumn("_r0", F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("text")))).drop("_h", "text")
     on = [F.col(k).eqNullSafe(F.col(f"_p_{k}")) for k in keys] + [F.col("_r0") == F.col("_r")]
     out = rows.join(p, on).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     out = out.withColumn("position", invert(F.least(F.col("_u") + F.col("_k") * F.col("_ahead"), F.lit(1.0)), F.col("_slope")))
-    return out.orderBy("position", "doc_id").select(*docs.columns)
+    return out.orderBy("position", "doc_id").select("_row.*")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -145,6 +145,6 @@ def shard(docs: DataFrame, shards: int | None = None, target_bytes: int | None =
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = materialize(measured(table(spark, sf_dir, "documents")).drop("text", "lang", "source", "n_chars"), "shard-points")
+    points = materialize(measured(table(spark, sf_dir, "documents")).select("doc_id", *DIMS, "_h"), "shard-points")
     rows = place(points, grow(points, 8), points.count())
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

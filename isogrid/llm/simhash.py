@@ -146,8 +146,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """One document of each component, that with the smallest doc_id (of several with it, that with the least hash of its text)."""
     first = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("text_hash").alias("_hash"), F.first("doc_id").alias("_id"))
     own = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    stay = docs.withColumn("_own", own).join(first.select("_id", "_hash"), (F.col("_own") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return stay.dropDuplicates(["doc_id", "_own"]).drop("_own")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", own.alias("_own"))
+    stay = rows.join(first.select("_id", "_hash"), (F.col("_own") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    return stay.dropDuplicates(["doc_id", "_own"]).select("_row.*")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
