@@ -17,7 +17,7 @@ from ..operators.grid import Grid, grid_of, nodes
 
 MAX_POINTS = 200_000
 TILES = (256, 128, 64, 32, 16, 8)
-SIDE = 16
+SIDE = 4, 32  # nodes along a search block, least and most
 
 
 def _spread(points: DataFrame, grid: Grid, radius: float, tile: int) -> DataFrame:
@@ -95,11 +95,12 @@ def interpolate_tiles(points: DataFrame, grid: Grid, k: int, radius: float, meth
         value, count = np.full((len(rows), len(cols)), np.nan), np.zeros((len(rows), len(cols)), np.int64)
         area = max((gx[-1] - gx[0] + 2 * radius) * (gy[-1] - gy[0] + 2 * radius), 1e-9)
         first = min(radius, 1.5 * math.sqrt(k * area / (math.pi * max(len(px), 1))))
-        for i in range(0, len(rows), SIDE):
-            y = gy[i : i + SIDE]
+        side = int(np.clip(2 * first / max(grid.dx, grid.dy, 1e-9), *SIDE))  # about as wide as the first search reaches
+        for i in range(0, len(rows), side):
+            y = gy[i : i + side]
             strip = np.flatnonzero((py > y[0] - radius) & (py < y[-1] + radius))
-            for j in range(0, len(cols), SIDE):
-                x = gx[j : j + SIDE]
+            for j in range(0, len(cols), side):
+                x = gx[j : j + side]
                 own = strip[(px[strip] > x[0] - radius) & (px[strip] < x[-1] + radius)]
                 if not len(own):
                     continue
@@ -117,8 +118,8 @@ def interpolate_tiles(points: DataFrame, grid: Grid, k: int, radius: float, meth
                     if not len(left):
                         break
                 shape = (len(y), len(x))
-                value[i : i + SIDE, j : j + SIDE] = estimate_rows(d, z, method, power, r_min).reshape(shape)
-                count[i : i + SIDE, j : j + SIDE] = np.isfinite(d).sum(axis=1).reshape(shape)
+                value[i : i + side, j : j + side] = estimate_rows(d, z, method, power, r_min).reshape(shape)
+                count[i : i + side, j : j + side] = np.isfinite(d).sum(axis=1).reshape(shape)
         v = value.ravel()
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.repeat(rows, len(cols)).astype(np.int32)), pa.array(np.tile(cols, len(rows)).astype(np.int32)), pa.array(v, mask=np.isnan(v)), pa.array(count.ravel())], names=["row", "col", "value", "n"]
