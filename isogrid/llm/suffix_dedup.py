@@ -19,7 +19,7 @@ hashes, compared in pairs.
 
 Hot names: each batch first reduces equal pairs to the earliest one, so a copied passage sends at most one row a
 batch; a name with many different pairs in a batch is spread over partitions by the whole pair, a marker keeps its
-group from looking unique. Groups are only streamed over sorted rows, never collected.
+group from looking unique; the last round places all rows by the pair. Groups are only streamed over sorted rows, never collected.
 
 The text itself is never shuffled. Extents go to one small file set for each partition of the input, in the shared
 folder, and each pass over the text opens those of its own partition. So the input must yield the same rows in the same
@@ -316,12 +316,16 @@ def _extents(folder: str, part: int) -> tuple[np.ndarray, np.ndarray]:
     return place[order], mk[order]
 
 
-def _round(named: DataFrame, name: str) -> str:
-    """One sort of all names; the extents that it settles or leaves open, written by partition of the input."""
+def _round(named: DataFrame, name: str, last: bool = False) -> str:
+    """One sort of all names; the extents that it settles or leaves open, written by partition of the input.
+
+    A hot pair that other batches sent as a common one is met in two partitions, where its earliest ones stay open alike. The
+    last round settles them: there rows are placed by the whole pair.
+    """
     spark = named.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = F.col("mk").bitwiseAND(7)
-    salt = F.when(kind.isin(LATER, GUARD), F.col("place")).when(kind == HOT, F.col("ext")).otherwise(F.lit(0).cast("long"))
+    salt = F.when(kind.isin(LATER, GUARD), F.col("place")).when(F.lit(last) | (kind == HOT), F.col("ext")).otherwise(F.lit(0).cast("long"))
     path = scratch(spark, name)
     (
         named.withColumn("salt", salt).repartition(n, "core", "salt").drop("salt").sortWithinPartitions("core", "ext", "doc", "part", "place")
@@ -377,7 +381,7 @@ def remove_repeats(docs: DataFrame, threshold: int = 100, gram: int | None = Non
         docs = materialize(docs, "suffix-input")
     folders = [_round(docs.mapInArrow(first_round(gram, threshold), ROW), "suffix-1")]
     for k, single in ((2, False), (3, True)):
-        folders.append(_round(docs.mapInArrow(next_round(folders[-1], gram, threshold, single), ROW), f"suffix-{k}"))
+        folders.append(_round(docs.mapInArrow(next_round(folders[-1], gram, threshold, single), ROW), f"suffix-{k}", last=single))
     return docs.mapInArrow(_removed(folders, threshold), "doc_id long, n_bytes long, kept binary, removed array<struct<start:long,end:long>>")
 
 
