@@ -21,6 +21,6 @@ def write_surfer(cells: DataFrame, grid: Grid, path: str, value: str = "value_ou
     else:
         low, high = cells.filter(F.col(value) > -9999).agg(F.min(value), F.max(value)).first()
     with open(path, "w") as f:
-        f.write(f"DSAA\n{grid.ncol} {grid.nrow}\n{grid.xmin} {grid.xmax}\n{grid.ymin} {grid.ymax}\n{low or 0} {high or 0}\n")
+        f.write(f"DSAA\n{grid.ncol} {grid.nrow}\n{grid.xmin} {grid.xmax}\n{grid.ymin} {grid.ymax}\n{float(low or 0)} {float(high or 0)}\n")
         for r in lines(cells, value).orderBy("row").toLocalIterator():
             f.write(r.line + "\n")

@@ -38,6 +38,7 @@ def read_shapefile(spark: SparkSession, path: str, z_field: str = "z") -> DataFr
 
 
 def read_las(spark: SparkSession, path: str) -> DataFrame:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # the reader takes class filters
     spark.dataSource.register(LasSource)
     return with_ids(spark.read.format("las").load(path))
 

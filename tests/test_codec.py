@@ -67,7 +67,7 @@ def test_unreachable_accuracy_is_flagged(spark):
 
 def test_kinds(spark):
     plain = np.arange(1.0, 17.0)
-    rows = [(0, [0.0] * 16), (1, [-9999.0] * 16), (2, [0.0] * 8 + [-9999.0] * 8), (3, [0.0, -9999.0, *plain[2:]]), (4, plain.tolist())]
+    rows = [(0, [0.0] * 16), (1, [-9999.0] * 16), (2, [0.0] * 8 + [-9999.0] * 8), (3, [0.0, -9999.0, *plain[2:].tolist()]), (4, plain.tolist())]
     cfg = CompressionConfig(accuracy=0.05, block=4)
     stream = codec.compress(spark.createDataFrame(rows, "block_idx int, pixels array<double>"), cfg)
     got = {r.block_idx: r for r in stream.collect()}

@@ -76,7 +76,6 @@ def test_las(spark, tmp_path, fmt):
     las(tmp_path / "c.las", [(101.5, 202.25, 7.0), (99.0, 199.0, -1.0), (100.0, 200.0, 0.0)], [2, 5, 2], fmt)
     df = points.read_points(spark, str(tmp_path / "c.las"))
     assert sorted((r.x, r.y, r.z, r.classification) for r in df.collect()) == [(99.0, 199.0, -1.0, 5), (100.0, 200.0, 0.0, 2), (101.5, 202.25, 7.0, 2)]
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     assert points.read_points(spark, str(tmp_path / "c.las")).filter("classification = 2").count() == 2
 
 
