@@ -8,9 +8,8 @@ and the lower half of its plain bytes' XXH64. TokenFile reads chosen documents b
 Documents are range-partitioned and sorted by doc_id, so a task writes one file, and files follow each other in doc_id order. A file is
 named by its attempt; the manifest, written to the shared folder, names those that count.
 
-Texts are encoded by the tokenizers library word by word (between ASCII white space), each distinct word once in a while:
-the vocabulary's pre-tokenizer drops white space and none of its pieces spans it, so the ids are those of the whole text.
-Pass by_word=False for a tokenizer of another kind.
+Texts are encoded by the tokenizers library word by word (between ASCII white space), each distinct word once in a
+while: the vocabulary's pre-tokenizer drops white space and none of its pieces spans it, so the ids are those of the whole text. Pass by_word=False for a tokenizer of another kind.
 
 Defined cases: null text is empty and has only the end id; null doc_id comes before all others; equal doc_ids follow each other in
 order of text; an empty table writes no file and reads as no rows; other columns are not read.
@@ -33,39 +32,173 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._util import arrow_batches, materialize, scratch, table
+from .suffix_dedup import Names
 from .warc import filesystem
 
 FRAME = 1 << 16
-CACHE = 300_000
+CACHE = 800_000
 INDEX_MAGIC, SEEK_MAGIC, FOOT_MAGIC = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
+SPACES = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 _tokenizers: dict = {}
 
 
+class WordTable:
+    """Words and their ids in arrays: an open-addressed hash table that many words are looked up in at once.
+
+    A word counts as found if its 64-bit name, length, first and last eight bytes agree.
+    """
+
+    BITS = 21
+
+    def __init__(self, dtype: np.dtype):
+        n = 1 << self.BITS
+        self.name, self.head, self.tail = (np.zeros(n, np.uint64) for _ in range(3))
+        self.size, self.count, self.at = np.zeros(n, np.int32), np.zeros(n, np.int32), np.zeros(n, np.int64)
+        self.ids, self.used, self.words = np.zeros(1 << 16, dtype), 0, 0
+
+    def find(self, name: np.ndarray, head: np.ndarray, tail: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Slots, -1 where there is none."""
+        out, left = np.full(len(name), -1, np.int64), np.arange(len(name))
+        slot = (name >> np.uint64(64 - self.BITS)).astype(np.int64)
+        while len(left):
+            there = self.name[slot]
+            same = (there == name[left]) & (self.head[slot] == head[left]) & (self.tail[slot] == tail[left]) & (self.size[slot] == size[left])
+            out[left[same]] = slot[same]
+            on = ~same & (there != 0)
+            left, slot = left[on], (slot[on] + 1) & ((1 << self.BITS) - 1)
+        return out
+
+    def add(self, name: np.ndarray, head: np.ndarray, tail: np.ndarray, size: np.ndarray, ids: list[bytes]) -> None:
+        """Words with different names, none of which is there."""
+        flat = np.frombuffer(b"".join(ids), self.ids.dtype)
+        if self.used + len(flat) > len(self.ids):
+            self.ids = np.r_[self.ids[: self.used], np.zeros(max(len(self.ids), 2 * len(flat)), self.ids.dtype)]
+        self.ids[self.used : self.used + len(flat)] = flat
+        count = np.array([len(x) for x in ids], np.int64) // self.ids.dtype.itemsize
+        at = self.used + np.cumsum(count) - count
+        self.used, self.words = self.used + len(flat), self.words + len(ids)
+        left, slot = np.arange(len(name)), (name >> np.uint64(64 - self.BITS)).astype(np.int64)
+        while len(left):
+            free = self.name[slot] == 0
+            self.name[slot[free]] = name[left[free]]
+            won = free & (self.name[slot] == name[left])  # of several for one slot, one
+            k, s = left[won], slot[won]
+            self.head[s], self.tail[s], self.size[s], self.count[s], self.at[s] = head[k], tail[k], size[k], count[k], at[k]
+            left, slot = left[~won], (slot[~won] + ~free[~won]) & ((1 << self.BITS) - 1)
+
+
 class Encoder:
-    """Ids of texts as bytes. Words are kept with their ids, CACHE of them at most."""
+    """Ids of texts as bytes.
+
+    Words are kept with their ids, CACHE of them and a batch's at most. New words of Latin letters, with marks after them or
+    none, are encoded many at a time and told apart by the ids that end words; any other word is encoded by itself.
+    """
+
+    TAIL = ".,;:!?*#$%&"
+    JOINED = 200
+    PIECE = 2_000_000
 
     def __init__(self, path: str, width: int, by_word: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.dtype, self.by_word, self.known = Tokenizer.from_file(path), np.dtype(f"<u{width}"), by_word, {}
+        self.tokenizer, self.dtype, self.by_word = Tokenizer.from_file(path), np.dtype(f"<u{width}"), by_word
+        self.table = WordTable(self.dtype)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.last = None
+        if suffix:
+            vocabulary = self.tokenizer.get_vocab()
+            self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.last[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+
+    def _pieces(self, word: str) -> int:
+        """How many pieces a word is cut into, each of which ends with one id that ends words: 1 for letters, 2 with marks after them; 0 for any other word."""
+        base = word.rstrip(self.TAIL)
+        if not (base.isalpha() and (base.isascii() or (max(base) < "\u0250" and base.lower().isalpha()))):
+            return 0
+        return 1 + (len(base) < len(word))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if not self.by_word:
             return self._encode(texts)
-        split = [self._words(t) for t in texts]
-        new = list({w for s in split for w in s if w not in self.known})
-        if len(self.known) + len(new) > CACHE:
-            self.known, new = {}, list({w for s in split for w in s})
-        for i in range(0, len(new), 20_000):
-            self.known.update(zip(new[i : i + 20_000], self._encode(new[i : i + 20_000])))
-        get = self.known.__getitem__
-        return [b"".join(map(get, s)) for s in split]
-
-    @staticmethod
-    def _words(text: bytes) -> list[bytes]:
-        # the vocabulary is of lower case; only a text that might hold a special token's name keeps its case
-        return (text if b"<|" in text else text.lower()).split()
+        out, held, size = [], [], 0
+        for t in texts:
+            # the vocabulary is of lower case; only a text that might hold a special token's name keeps its case
+            t = t if b"<|" in t else t.lower()
+            if len(t) > self.PIECE:
+                out += self._batch(held) + [b"".join(x for c in self._cut(t) for x in self._batch([c]))]
+                held, size = [], 0
+                continue
+            held.append(t)
+            size += len(t)
+            if size > self.PIECE:
+                out += self._batch(held)
+                held, size = [], 0
+        return out + self._batch(held)
+
+    def _cut(self, text: bytes) -> Iterator[bytes]:
+        """Pieces of a long text, cut at white space."""
+        a = 0
+        while a < len(text):
+            z = a + self.PIECE
+            while z < len(text) and text[z] not in b" \t\n\r\x0b\x0c":
+                z += 1
+            yield text[a:z]
+            a = z
+
+    def _batch(self, texts: list[bytes]) -> list[bytes]:
+        if not texts:
+            return []
+        whole = b"\n".join(texts) + b"\n"
+        padded = np.frombuffer(b"\0" * 8 + whole + b"\0" * 8, np.uint8)
+        buf = padded[8 : 8 + len(whole)]
+        space = np.r_[True, SPACES[buf]]
+        start, end = np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
+        eight = np.ndarray((len(whole) + 9,), "<u8", padded, 0, (1,))  # of the padded bytes, from each place
+        size = (end - start).astype(np.int32)
+        cut = (np.uint64(64) - np.minimum(size, 8).astype(np.uint64) * np.uint64(8))
+        key = [np.maximum(Names(buf).of(start, end), np.uint64(1)), eight[start + 8] << cut, eight[end] >> cut, size]
+        if self.table.words > CACHE:
+            self.table = WordTable(self.dtype)
+        slot = self.table.find(*key)
+        while len(new := np.flatnonzero(slot < 0)):
+            if len(new) > (1 << WordTable.BITS - 1) - self.table.words:  # a batch of very many words goes in halves
+                half = len(texts) // 2
+                if half:
+                    self.table = WordTable(self.dtype)
+                    return self._batch(texts[:half]) + self._batch(texts[half:])
+            first = new[np.unique(key[0][new], return_index=True)[1]]
+            ids = [x for i in range(0, len(first), 4_000) for x in self._new([whole[a:b] for a, b in zip(start[first[i : i + 4_000]].tolist(), end[first[i : i + 4_000]].tolist())])]
+            self.table.add(*[k[first] for k in key], ids)
+            slot[new] = self.table.find(*[k[new] for k in key])
+        count = self.table.count[slot].astype(np.int64)
+        ends = np.r_[0, np.cumsum(count)]
+        data = self.table.ids[np.repeat(self.table.at[slot] - ends[:-1], count) + np.arange(ends[-1])].tobytes()
+        # where each text's ids begin
+        places = np.r_[0, np.cumsum([len(t) + 1 for t in texts])]
+        at = ends[np.searchsorted(start, places)] * self.dtype.itemsize
+        return [data[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+
+    def _new(self, words: list[bytes]) -> list[bytes]:
+        simple, pieces, rest = [], [], []
+        for w in words:
+            n = self._pieces(w.decode()) if self.last is not None else 0
+            if n:
+                simple.append(w)
+                pieces.append(n)
+            else:
+                rest.append(w)
+        found: dict[bytes, bytes] = {}
+        groups = [slice(i, i + self.JOINED) for i in range(0, len(simple), self.JOINED)]
+        for g, data in zip(groups, self._encode([b" ".join(simple[g]) for g in groups])):
+            end = np.flatnonzero(self.last[np.frombuffer(data, self.dtype)]) + 1
+            if len(end) != sum(pieces[g]):
+                rest += simple[g]  # some letters are not as supposed
+                continue
+            at = np.r_[0, end[np.cumsum(pieces[g]) - 1]] * self.dtype.itemsize
+            found.update(zip(simple[g], [data[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist())]))
+        found.update(zip(rest, self._encode(rest)))
+        return [found[w] for w in words]
 
     def _encode(self, texts: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)

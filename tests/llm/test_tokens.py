@@ -84,8 +84,10 @@ def test_word_by_word_equals_whole_texts():
     assert [np.frombuffer(x, "<u2").tolist() + [2] for x in e.encode([t.encode() for t in texts])] == [encode(t) for t in texts]
 
 
-def test_small_cache(monkeypatch):
+def test_small_cache_and_pieces(monkeypatch):
     monkeypatch.setattr(tf, "CACHE", 10)
+    monkeypatch.setattr(tf.Encoder, "PIECE", 50)
+    monkeypatch.setattr(tf.WordTable, "BITS", 6)
     e = tf.Encoder(PATH, 2, True)
     for k in range(3):
         texts = [tables.prose(random.Random(k * 10 + i), 30) for i in range(5)]
