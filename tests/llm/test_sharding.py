@@ -56,7 +56,7 @@ def test_target_bytes(spark, tmp_path):
 
 def test_many_buckets_give_gapless_slots(spark, tmp_path, monkeypatch):
     folder = tables.write(spark, tmp_path)
-    monkeypatch.setattr(sharding, "buckets_for", lambda n: 11)
+    monkeypatch.setattr(sharding, "buckets_for", lambda n, per: 11)
     check(sharding.op10_sharding(spark, folder).collect(), tables.texts(spark, folder), 8, 8)
 
 
