@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality_rules
+from . import mixing, oracles, quality_rules
 from .decontaminate import op8_decontaminate
 from .language_id import op4_language_id
 from .mixing import op6_mixing
@@ -32,5 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLES: dict[str, str] = {
     "op3_quality_rules": quality_rules.ORACLE,
+    "op5_warc": oracles.WARC,
     "op6_mixing": mixing.ORACLE,
+    "op8_decontaminate": oracles.DECONTAMINATE,
 }
