@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import CompressionConfig
+from ..config import CompressionConfig, InterpolationConfig
 from ..functions import crs
 from ..functions.scalars import nodata_out, quantise
 from ..operators import blocks, clean, codec, dct, descriptors, estimate, geoid, grid, knn, masks, prune, smooth
 from . import fixtures as fx
-from .pipelines import interpolate_tiles
+from .pipelines import compress_raster, decompress_raster, interpolate, interpolate_tiles
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -443,3 +444,86 @@ def archive_names(spark, sf):
     size = F.col("p_size")
     name = F.concat(F.lit("r"), F.col("p_partkey"), F.lit("_N"), 8 * (1 + size % 4), F.lit("_Acc"), F.round(0.01 * (1 + size % 9), 2), F.lit("_tdct2_dec2"))
     return parse(fx.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), name.alias("name"))).select("id", "n", "accuracy")
+
+
+# --- whole pipelines
+
+RMIN_PAIRS = f"SELECT row, col, z, CASE WHEN d < {R_MIN} AND m IS NOT NULL THEN m / 2 ELSE d END AS d FROM (SELECT *, min(CASE WHEN d > {R_MIN} THEN d END) OVER (PARTITION BY row, col) AS m FROM ({PAIRS}))"
+
+
+def filled_sql(value: str, pairs: str) -> str:
+    return f"SELECT g.row, g.col, round(g.gx, 6) AS x, round(g.gy, 6) AS y, v.value, coalesce(v.value, -9999.0) AS value_out FROM ({nodes_sql(fx.POINTS, RES)}) g LEFT JOIN ({value_sql(value, pairs)}) v USING (row, col)"
+
+
+def settings(**more) -> InterpolationConfig:
+    return InterpolationConfig(neighbours=K, resolution=RES, max_distance=RADIUS, **more)
+
+
+@query("interpolate_rmin", filled_sql("sum(z / (d * d)) / sum(1 / (d * d))", RMIN_PAIRS))
+def interpolate_rmin(spark, sf):
+    return interpolate(fx.points(spark, sf), settings(r_min=R_MIN))[0].select("row", "col", *r6("x", "y", "value", "value_out"))
+
+
+@query("interpolate_knn", filled_sql("avg(z)", PAIRS))
+def interpolate_knn(spark, sf):
+    return interpolate(fx.points(spark, sf), settings(method="knn"))[0].select("row", "col", *r6("x", "y", "value", "value_out"))
+
+
+@query("interpolate_relational", filled_sql("sum(z / (d * d)) / sum(1 / (d * d))", RMIN_PAIRS))
+def interpolate_relational(spark, sf):
+    return interpolate(fx.points(spark, sf), settings(r_min=R_MIN), fast=False)[0].select("row", "col", *r6("x", "y", "value", "value_out"))
+
+
+@query("codec_bisect", f"SELECT block_idx, true AS within FROM (SELECT DISTINCT block_idx FROM ({SMOOTH_BLOCKS}))")
+def codec_bisect(spark, sf):
+    """The search by halving meets the accuracy too, with no shorter a prefix than the least one."""
+    tiles = blocks.tiles(smooth_blocks(spark, sf))
+    least = codec.compress(tiles, config()).select("block_idx", F.size("coeffs").alias("k"))
+    found = codec.compress(tiles, config(search="bisect")).select("block_idx", F.size("coeffs").alias("n"), "max_error")
+    return found.join(least, "block_idx").select("block_idx", (F.col("max_error").isNotNull() & (F.col("n") >= F.col("k"))).alias("within"))
+
+
+# --- files: written to a temporary folder, and read again
+
+WITHIN = "SELECT (i // 64)::INT AS row, (i % 64)::INT AS col, true AS within FROM range(4096) t(i)"
+
+
+@query("csv_scan", f"SELECT round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM ({fx.POINTS})")
+def csv_scan(spark, sf):
+    from ..sources.points import read_points
+
+    at = tempfile.mkdtemp(prefix="isogrid-") + "/points.csv"
+    fx.points(spark, sf).select("x", "y", "z").write.option("header", True).csv(at)
+    return read_points(spark, at).select(*r6("x", "y", "z"))
+
+
+@query("shapefile_roundtrip", f"SELECT round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM ({fx.LATTICE})")
+def shapefile_roundtrip(spark, sf):
+    from ..sinks.shapefile import write_shapefile
+    from ..sources.points import read_points
+
+    at = tempfile.mkdtemp(prefix="isogrid-") + "/points.shp"
+    write_shapefile(fx.lattice(spark, sf), at)
+    return read_points(spark, at).select(*r6("x", "y", "z"))
+
+
+@query("geotiff_roundtrip", f"SELECT row, col, round(value::FLOAT::DOUBLE, 4) AS value FROM ({fx.SMOOTH})")
+def geotiff_roundtrip(spark, sf):
+    from ..sinks.geotiff import write_geotiff
+    from ..sources.raster import read_raster
+
+    at = tempfile.mkdtemp(prefix="isogrid-") + "/raster.tif"
+    write_geotiff(fx.smooth(spark, sf), 64, 64, (1.0, 0.0, 0.0, 0.0, 1.0, 0.0), "epsg:2180", at)
+    return read_raster(spark, at).select("row", "col", F.round("value", 4).alias("value"))
+
+
+@query("archive_roundtrip", WITHIN)
+def archive_roundtrip(spark, sf):
+    from ..sinks.tables import read_archive, write_archive
+    from ..sources.raster import Raster
+
+    at, source = tempfile.mkdtemp(prefix="isogrid-") + "/archive", fx.smooth(spark, sf)
+    write_archive(compress_raster(source, 64, 64, config()), Raster(64, 64, (1.0, 0.0, 0.0, 0.0, 1.0, 0.0), "epsg:2180", -9999.0), config(), at, "r1")
+    stream, head, cfg = read_archive(spark, at, "r1")
+    back = decompress_raster(stream, head.height, head.width, cfg)
+    return source.withColumnRenamed("value", "v").join(back, ["row", "col"]).select("row", "col", (F.abs(F.col("v") - F.col("value")) <= cfg.accuracy + 1e-9).alias("within"))
