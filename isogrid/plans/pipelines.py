@@ -15,8 +15,8 @@ from ..functions.scalars import nodata_out
 from ..operators import blocks, clean, codec, estimate, geoid, knn, smooth
 from ..operators.grid import Grid, grid_of, nodes
 
-MAX_POINTS = 200_000
-TILES = (256, 128, 64, 32, 16, 8)
+MAX_POINTS = 1_000_000
+TILES = (512, 256, 128, 64, 32, 16, 8)
 SIDE = 4, 32  # nodes along a search block, least and most
 
 
@@ -74,10 +74,13 @@ def interpolate_tiles(points: DataFrame, grid: Grid, k: int, radius: float, meth
 
     The fast path: nodes are never shuffled. Points go to the tiles of nodes that they can reach, one shuffle with little replication as
     a tile is much wider than the radius; each tile makes its nodes and searches in numpy, first within the radius that should hold k points, then,
-    for nodes that it did not satisfy, within the whole. The tile's size is the largest at which none holds more than MAX_POINTS.
+    for nodes that it did not satisfy, twice as far, and so on up to the whole. The tile's size is the largest at which there are some tiles a core and none holds more than MAX_POINTS.
     """
     spark = points.sparkSession
+    least = 4 * spark.sparkContext.defaultParallelism
     for tile in TILES:
+        if tile > 64 and -(-grid.ncol // tile) * -(-grid.nrow // tile) < least:
+            continue
         spread = _spread(points, grid, radius, tile)
         if tile == TILES[-1] or (spread.groupBy("t").count().agg(F.max("count")).first()[0] or 0) <= MAX_POINTS:
             break
@@ -95,22 +98,27 @@ def interpolate_tiles(points: DataFrame, grid: Grid, k: int, radius: float, meth
         value, count = np.full((len(rows), len(cols)), np.nan), np.zeros((len(rows), len(cols)), np.int64)
         area = max((gx[-1] - gx[0] + 2 * radius) * (gy[-1] - gy[0] + 2 * radius), 1e-9)
         first = min(radius, 1.5 * math.sqrt(k * area / (math.pi * max(len(px), 1))))
+        reaches = [r for r in (first * 2.0**i for i in range(16)) if r < radius] + [radius]
         side = int(np.clip(2 * first / max(grid.dx, grid.dy, 1e-9), *SIDE))  # about as wide as the first search reaches
+        by_y = np.argsort(py, kind="stable")
+        sorted_y = py[by_y]
         for i in range(0, len(rows), side):
             y = gy[i : i + side]
-            strip = np.flatnonzero((py > y[0] - radius) & (py < y[-1] + radius))
+            strips: dict[float, np.ndarray] = {}
             for j in range(0, len(cols), side):
                 x = gx[j : j + side]
-                own = strip[(px[strip] > x[0] - radius) & (px[strip] < x[-1] + radius)]
-                if not len(own):
-                    continue
                 nx, ny = np.tile(x, len(y)), np.repeat(y, len(x))
                 d, z = np.full((len(nx), k), np.inf), np.zeros((len(nx), k))
                 left = np.arange(len(nx))
-                for reach in (first, radius) if first < radius else (radius,):
-                    near = own if reach == radius else own[(px[own] > x[0] - reach) & (px[own] < x[-1] + reach) & (py[own] > y[0] - reach) & (py[own] < y[-1] + reach)]
-                    for a in range(0, len(left), max(1, 4_000_000 // max(1, len(near)))):
-                        part = left[a : a + max(1, 4_000_000 // max(1, len(near)))]
+                for reach in reaches:
+                    if reach not in strips:
+                        strips[reach] = by_y[slice(*np.searchsorted(sorted_y, [y[0] - reach, y[-1] + reach]))]
+                    own = strips[reach]
+                    ox = px[own]
+                    near = np.sort(own[(ox > x[0] - reach) & (ox < x[-1] + reach)])  # in the order of the ids
+                    some = max(1, 4_000_000 // max(1, len(near)))
+                    for a in range(0, len(left) if len(near) else 0, some):
+                        part = left[a : a + some]
                         dd, zz = _nearest(nx[part], ny[part], px[near], py[near], pz[near], k, reach)
                         d[part] = np.inf
                         d[part, : dd.shape[1]], z[part, : dd.shape[1]] = dd, zz
@@ -125,7 +133,9 @@ def interpolate_tiles(points: DataFrame, grid: Grid, k: int, radius: float, meth
             [pa.array(np.repeat(rows, len(cols)).astype(np.int32)), pa.array(np.tile(cols, len(rows)).astype(np.int32)), pa.array(v, mask=np.isnan(v)), pa.array(count.ravel())], names=["row", "col", "value", "n"]
         )
 
-    return spread.unionByName(all_tiles).groupBy("t").applyInArrow(work, "row int, col int, value double, n long")
+    # many small tasks, so that tiles that hash together don't make one core the last
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(across * down, 2 * least))
+    return spread.unionByName(all_tiles).repartition(tasks, "t").groupBy("t").applyInArrow(work, "row int, col int, value double, n long")
 
 
 def interpolate(points: DataFrame, cfg: InterpolationConfig, geoid_model: DataFrame | None = None, fast: bool = True) -> tuple[DataFrame, Grid]:
