@@ -142,13 +142,18 @@ def near_duplicates(docs: DataFrame, long_list: int = 512) -> DataFrame:
     return rows.join(ids, rows.fp == F.col("_fp"), "left").drop("_fp")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """One document of each component, that with the smallest doc_id (of several with it, that with the least hash of its text)."""
-    first = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("text_hash").alias("_hash"), F.first("doc_id").alias("_id"))
+def one_of_each(docs: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """One document of each component, that with the smallest doc_id (of several with it, that with the least hash of its text).
+
+    members has doc_id, text_hash, root and component_id of all docs; as from near_duplicates unless given."""
+    first = (near_duplicates(docs) if members is None else members).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("text_hash").alias("_hash"), F.first("doc_id").alias("_id"))
     own = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", own.alias("_own"))
-    stay = rows.join(first.select("_id", "_hash"), (F.col("_own") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return stay.dropDuplicates(["doc_id", "_own"]).select("_row.*")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", own.alias("_own")).withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), "_own"))
+    first = first.withColumn("_first", F.xxhash64("_id", "_hash"))
+    # joined by one key, which places equal rows together too, so texts are shuffled once; the rest is compared in a form that is no key
+    same = (F.col("_own").bitwiseXOR(F.col("_hash")) == 0) & F.coalesce(F.col("doc_id").cast("long").bitwiseXOR(F.col("_id")) == 0, F.col("doc_id").isNull() & F.col("_id").isNull())
+    stay = rows.join(first.select("_id", "_hash", "_first"), (F.col("_key") == F.col("_first")) & same, "left_semi")
+    return stay.dropDuplicates(["_key", "doc_id", "_own"]).select("_row.*")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
