@@ -1,11 +1,11 @@
-"""Removal of repeated byte strings by distributed prefix doubling over winnowed positions.
+"""Removal of repeated byte strings by winnowed positions and hash grouping, from long names to short ones.
 
 A byte is removed if a string of `threshold` bytes that covers it also starts earlier: in a document
 with a smaller doc_id, or earlier in the same document. Strings are judged on the input.
 
-Plain prefix doubling names every position and sorts them all once a round, some 16 bytes a position and
-round. Here the same rounds run (name positions, let Spark sort the names, let unique ones go, go on with
-longer names until past the threshold), but the first round names only winnowed positions: of the gram
+This is not prefix doubling: that names every position and sorts all of them once a round, some 16 bytes a position and
+round, with ranks and growing offsets. Here there are no ranks and no growing offsets, but three fixed rounds with shorter and shorter names, and the
+first round names only winnowed positions: of the gram
 starts inside each window of `threshold` bytes, that with the least hash. Equal windows choose the same place,
 so no repeat is missed. A position stands for all the windows that chose it, an extent. The rounds:
 
