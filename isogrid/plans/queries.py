@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -483,7 +485,23 @@ def codec_bisect(spark, sf):
     return found.join(least, "block_idx").select("block_idx", (F.col("max_error").isNotNull() & (F.col("n") >= F.col("k"))).alias("within"))
 
 
-# --- files: written to a temporary folder, and read again
+# --- files: written below the shared folder, and read again
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, which all executors share; a local one only where that is unset."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{at.rstrip('/')}/isogrid-{uuid.uuid4().hex}" if at else tempfile.mkdtemp(prefix="isogrid-")
+
+
+def mounted(folder: str) -> str:
+    """The folder as a path for sinks that write a single file from the driver; made if need be."""
+    if "://" in folder and not folder.startswith("file:"):
+        raise ValueError(f"single-file sinks need a mounted folder, not {folder}")
+    path = "/" + folder[5:].lstrip("/") if folder.startswith("file:") else folder
+    os.makedirs(path, exist_ok=True)
+    return path
+
 
 WITHIN = "SELECT (i // 64)::INT AS row, (i % 64)::INT AS col, true AS within FROM range(4096) t(i)"
 
@@ -492,7 +510,7 @@ WITHIN = "SELECT (i // 64)::INT AS row, (i % 64)::INT AS col, true AS within FRO
 def csv_scan(spark, sf):
     from ..sources.points import read_points
 
-    at = tempfile.mkdtemp(prefix="isogrid-") + "/points.csv"
+    at = scratch(spark) + "/points.csv"
     fx.points(spark, sf).select("x", "y", "z").write.option("header", True).csv(at)
     return read_points(spark, at).select(*r6("x", "y", "z"))
 
@@ -502,7 +520,7 @@ def shapefile_roundtrip(spark, sf):
     from ..sinks.shapefile import write_shapefile
     from ..sources.points import read_points
 
-    at = tempfile.mkdtemp(prefix="isogrid-") + "/points.shp"
+    at = mounted(scratch(spark)) + "/points.shp"
     write_shapefile(fx.lattice(spark, sf), at)
     return read_points(spark, at).select(*r6("x", "y", "z"))
 
@@ -512,7 +530,7 @@ def geotiff_roundtrip(spark, sf):
     from ..sinks.geotiff import write_geotiff
     from ..sources.raster import read_raster
 
-    at = tempfile.mkdtemp(prefix="isogrid-") + "/raster.tif"
+    at = mounted(scratch(spark)) + "/raster.tif"
     write_geotiff(fx.smooth(spark, sf), 64, 64, (1.0, 0.0, 0.0, 0.0, 1.0, 0.0), "epsg:2180", at)
     return read_raster(spark, at).select("row", "col", F.round("value", 4).alias("value"))
 
@@ -522,7 +540,7 @@ def archive_roundtrip(spark, sf):
     from ..sinks.tables import read_archive, write_archive
     from ..sources.raster import Raster
 
-    at, source = tempfile.mkdtemp(prefix="isogrid-") + "/archive", fx.smooth(spark, sf)
+    at, source = scratch(spark) + "/archive", fx.smooth(spark, sf)
     write_archive(compress_raster(source, 64, 64, config()), Raster(64, 64, (1.0, 0.0, 0.0, 0.0, 1.0, 0.0), "epsg:2180", -9999.0), config(), at, "r1")
     stream, head, cfg = read_archive(spark, at, "r1")
     back = decompress_raster(stream, head.height, head.width, cfg)
