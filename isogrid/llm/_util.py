@@ -18,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where it is unset (tests on one machine)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a local one, on one machine only (tests); on a cluster that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         at = "file://" + tempfile.mkdtemp(prefix="isogrid-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
@@ -37,6 +39,27 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def tasks_for(df: DataFrame, per_task: int = 256 << 20) -> int:
+    """How many shuffle partitions a scan's rows need: those of the session, more where one would hold over per_task bytes."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // per_task), 1_000_000))
+
+
+def nested(docs: DataFrame, *names: str) -> DataFrame:
+    """The row in a struct, _row, so that no column of it meets a helper's name; and the named columns beside it."""
+    return docs.select(F.struct(*[_exact(c) for c in docs.columns]).alias("_row"), *[_exact(n).alias(n) for n in names])
+
+
+def unnested(rows: DataFrame, columns: list[str], results: list[str]) -> DataFrame:
+    """The columns of the rows in _row, without those named like a result, and the results."""
+    own = {r.lower() for r in results}
+    return rows.select(*[F.col("_row").getField(c).alias(c) for c in columns if c.lower() not in own], *results)
+
+
+def _exact(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: written once to the shared folder, read from there. A lost executor costs no recomputation."""
     path = scratch(df.sparkSession, name)
@@ -55,7 +78,7 @@ def hash_bucket(h: Column, n: int) -> Column:
 
 
 def running(df: DataFrame, keys: list[str], bucket: str, order: list[str], value: Column, out: str) -> DataFrame:
-    """Adds the sum of value over the rows before this one within keys, by bucket, then by order.
+    """Adds the sum of value over the rows before this one within keys, by bucket, then by order. df has no columns _t, _base, _in, _k*.
 
     Two levels: totals by (keys, bucket) are summed first over that small table, then rows only
     within their bucket, so that a hot key spreads over all its buckets and no task orders a whole key.

@@ -12,7 +12,7 @@ Texts are encoded by the tokenizers library word by word (between ASCII white sp
 while: the vocabulary's pre-tokenizer drops white space and none of its pieces spans it, so the ids are those of the whole text. Pass by_word=False for a tokenizer of another kind.
 
 Defined cases: null text is empty and has only the end id; null doc_id comes before all others; equal doc_ids follow each other in
-order of text; an empty table writes no file and reads as no rows; other columns are not read.
+order of a hash of their text; an empty table writes no file and reads as no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,12 +31,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._util import arrow_batches, materialize, scratch, table
+from ._util import arrow_batches, materialize, scratch, table, tasks_for
 from .suffix_dedup import Names
 from .warc import filesystem
 
 FRAME = 1 << 16
-CACHE = 800_000
+CACHE = 800_000  # words that are kept with their ids
+KEPT = 64 << 20  # bytes of long words that are kept
 INDEX_MAGIC, SEEK_MAGIC, FOOT_MAGIC = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 SPACES = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 _tokenizers: dict = {}
@@ -45,7 +46,8 @@ _tokenizers: dict = {}
 class WordTable:
     """Words and their ids in arrays: an open-addressed hash table that many words are looked up in at once.
 
-    A word counts as found if its 64-bit name, length, first and last eight bytes agree.
+    A word counts as found only if all its bytes agree: its length, its first and last eight bytes, and, if it is longer than these, the
+    whole word, which is kept. The 64-bit name only says where to look; different words may share it.
     """
 
     BITS = 21
@@ -55,21 +57,37 @@ class WordTable:
         self.name, self.head, self.tail = (np.zeros(n, np.uint64) for _ in range(3))
         self.size, self.count, self.at = np.zeros(n, np.int32), np.zeros(n, np.int32), np.zeros(n, np.int64)
         self.ids, self.used, self.words = np.zeros(1 << 16, dtype), 0, 0
+        self.bytes, self.filled, self.byte_at = np.zeros(1 << 16, np.uint8), 0, np.zeros(n, np.int64)
 
-    def find(self, name: np.ndarray, head: np.ndarray, tail: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Slots, -1 where there is none."""
+    def find(self, name: np.ndarray, head: np.ndarray, tail: np.ndarray, size: np.ndarray, buf: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Slots of the words of buf that begin at start, -1 where there is none."""
         out, left = np.full(len(name), -1, np.int64), np.arange(len(name))
         slot = (name >> np.uint64(64 - self.BITS)).astype(np.int64)
         while len(left):
             there = self.name[slot]
             same = (there == name[left]) & (self.head[slot] == head[left]) & (self.tail[slot] == tail[left]) & (self.size[slot] == size[left])
+            long = np.flatnonzero(same & (size[left] > 16))
+            if len(long):
+                same[long] = self._equal(slot[long], size[left[long]], buf, start[left[long]])
             out[left[same]] = slot[same]
             on = ~same & (there != 0)
             left, slot = left[on], (slot[on] + 1) & ((1 << self.BITS) - 1)
         return out
 
-    def add(self, name: np.ndarray, head: np.ndarray, tail: np.ndarray, size: np.ndarray, ids: list[bytes]) -> None:
-        """Words with different names, none of which is there."""
+    def _equal(self, slot: np.ndarray, size: np.ndarray, buf: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Whether the long words kept at slot are those of buf at start, byte by byte, some megabytes at a time."""
+        out = np.zeros(len(slot), bool)
+        for part in np.array_split(np.arange(len(slot)), max(1, int(size.sum(dtype=np.int64)) >> 22)):
+            n = size[part].astype(np.int64)
+            first = np.cumsum(n) - n
+            k = np.arange(int(n.sum())) - np.repeat(first, n)
+            differ = self.bytes[np.repeat(self.byte_at[slot[part]], n) + k] != buf[np.repeat(start[part], n) + k]
+            if len(part):
+                out[part] = ~np.logical_or.reduceat(differ, first)
+        return out
+
+    def add(self, name: np.ndarray, head: np.ndarray, tail: np.ndarray, size: np.ndarray, buf: np.ndarray, start: np.ndarray, ids: list[bytes]) -> None:
+        """Words with different names, none of which is there yet as a whole; another word of the same name may be."""
         flat = np.frombuffer(b"".join(ids), self.ids.dtype)
         if self.used + len(flat) > len(self.ids):
             self.ids = np.r_[self.ids[: self.used], np.zeros(max(len(self.ids), 2 * len(flat)), self.ids.dtype)]
@@ -77,13 +95,21 @@ class WordTable:
         count = np.array([len(x) for x in ids], np.int64) // self.ids.dtype.itemsize
         at = self.used + np.cumsum(count) - count
         self.used, self.words = self.used + len(flat), self.words + len(ids)
+        long = np.flatnonzero(size > 16)
+        text = np.frombuffer(b"".join(buf[a : a + n].tobytes() for a, n in zip(start[long].tolist(), size[long].tolist())), np.uint8)
+        if self.filled + len(text) > len(self.bytes):
+            self.bytes = np.r_[self.bytes[: self.filled], np.zeros(max(len(self.bytes), 2 * len(text)), np.uint8)]
+        self.bytes[self.filled : self.filled + len(text)] = text
+        byte_at = np.zeros(len(size), np.int64)
+        byte_at[long] = self.filled + np.cumsum(size[long], dtype=np.int64) - size[long]
+        self.filled += len(text)
         left, slot = np.arange(len(name)), (name >> np.uint64(64 - self.BITS)).astype(np.int64)
         while len(left):
             free = self.name[slot] == 0
             self.name[slot[free]] = name[left[free]]
             won = free & (self.name[slot] == name[left])  # of several for one slot, one
             k, s = left[won], slot[won]
-            self.head[s], self.tail[s], self.size[s], self.count[s], self.at[s] = head[k], tail[k], size[k], count[k], at[k]
+            self.head[s], self.tail[s], self.size[s], self.count[s], self.at[s], self.byte_at[s] = head[k], tail[k], size[k], count[k], at[k], byte_at[k]
             left, slot = left[~won], (slot[~won] + ~free[~won]) & ((1 << self.BITS) - 1)
 
 
@@ -158,9 +184,9 @@ class Encoder:
         size = (end - start).astype(np.int32)
         cut = (np.uint64(64) - np.minimum(size, 8).astype(np.uint64) * np.uint64(8))
         key = [np.maximum(Names(buf).of(start, end), np.uint64(1)), eight[start + 8] << cut, eight[end] >> cut, size]
-        if self.table.words > CACHE:
+        if self.table.words > CACHE or self.table.filled > KEPT:
             self.table = WordTable(self.dtype)
-        slot = self.table.find(*key)
+        slot = self.table.find(*key, buf, start)
         while len(new := np.flatnonzero(slot < 0)):
             if len(new) > (1 << WordTable.BITS - 1) - self.table.words:  # a batch of very many words goes in halves
                 half = len(texts) // 2
@@ -169,8 +195,8 @@ class Encoder:
                     return self._batch(texts[:half]) + self._batch(texts[half:])
             first = new[np.unique(key[0][new], return_index=True)[1]]
             ids = [x for i in range(0, len(first), 4_000) for x in self._new([whole[a:b] for a, b in zip(start[first[i : i + 4_000]].tolist(), end[first[i : i + 4_000]].tolist())])]
-            self.table.add(*[k[first] for k in key], ids)
-            slot[new] = self.table.find(*[k[new] for k in key])
+            self.table.add(*[k[first] for k in key], buf, start[first], ids)
+            slot[new] = self.table.find(*[k[new] for k in key], buf, start[new])
         count = self.table.count[slot].astype(np.int64)
         ends = np.r_[0, np.cumsum(count)]
         data = self.table.ids[np.repeat(self.table.at[slot] - ends[:-1], count) + np.arange(ends[-1])].tobytes()
@@ -311,8 +337,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int, vocabulary: int, by_
     arrow_batches(spark, rows=500, size="8m")
     folder = scratch(spark, "tokens")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    # the rows' own numbers part even equal rows, so that a frequent doc_id, or null, spreads over tasks
+    rows = rows.withColumns({"_h": F.xxhash64("text"), "_n": F.monotonically_increasing_id()})
+    order = [F.col("doc_id").asc_nulls_first(), "_h", "_n"]
+    ordered = rows.repartitionByRange(tasks_for(rows), *order).sortWithinPartitions(*order).select("doc_id", "text")
     written = ordered.mapInArrow(_write(folder, tokenizer, end, 2 if vocabulary <= 1 << 16 else 4, by_word), "place long, file string, docs long, ids long")
     manifest = materialize(written, "tokens-manifest")  # one row a file
     before = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)

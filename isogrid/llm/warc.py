@@ -41,6 +41,8 @@ def filesystem(uri: str):
     """The file system of a path or URI, and the path in it."""
     import pyarrow.fs as fs
 
+    if uri.startswith(("s3a:", "s3n:")):
+        uri = "s3" + uri[3:]
     if uri.startswith("file:"):
         uri = "/" + uri[5:].lstrip("/")
     return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)

@@ -1,6 +1,7 @@
 import io
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -96,3 +97,37 @@ def test_small_cache_and_pieces(monkeypatch):
 
 def test_empty(spark, tmp_path):
     assert tf.op9_token_files(spark, tables.write(spark, tmp_path, [])).collect() == []
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_with_one_name():
+    """Polynomial names can't tell a long Thue-Morse word from its complement; the bytes do."""
+    t = thue_morse(2048)
+    other = t.translate(str.maketrans("ab", "ba"))
+    a, b = (("x" * 8 + w + "x" * 8) for w in (t, other))
+    names = tf.Names(np.frombuffer((a + b).encode(), np.uint8))
+    assert names.of(np.array([0, len(a)]), np.array([len(a), 2 * len(a)])).tolist()[0:1] == names.of(np.array([len(a)]), np.array([2 * len(a)])).tolist()
+    rng = random.Random(5)
+    long = ["".join(rng.choices("abcdé", k=rng.randint(17, 400))) for _ in range(200)]
+    texts = [f"{a} {b} {a}", b, a, " ".join(long), " ".join(long[::-1]), f"{b} z {b}"]
+    e = tf.Encoder(PATH, 2, True)
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u2").tolist() + [2] for x in e.encode([t.encode() for t in texts])] == [encode(t) for t in texts]
+
+
+def test_frequent_doc_id_and_long_text(spark, tmp_path):
+    """A third of the rows share an id, a third have none; one text of over two megabytes."""
+    docs = [(5, f"text {i}", None, None, 1) for i in range(60)] + [(None, f"none {i}", None, None, 1) for i in range(60)] + [(i + 10, "word " * 20, None, None, 1) for i in range(60)]
+    docs.append((1000, tables.prose(random.Random(1), 400) * 900, None, None, 1))
+    rows = tf.op9_token_files(spark, tables.write(spark, tmp_path, docs, extra=False)).collect()
+    want = Counter((d[0], len(x := encode(d[1])), zlib.crc32(np.array(x, "<u4").tobytes())) for d in docs)
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in rows) == want
+    at = 0
+    for r in sorted(rows, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+    ids = [r.doc_id for r in sorted(rows, key=lambda r: r.start)]
+    assert ids == sorted(ids, key=lambda x: (x is not None, x or 0))
