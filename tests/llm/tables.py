@@ -6,7 +6,7 @@ import random
 
 SYLLABLES = "ba ke li mo nu pra ste or an the un der il con ta ri".split()
 UMLAUTS = "ä ö ü ß ach ung keit der die sch".split()
-EXTRA = "size int, target string, shard int, slot string, n_words string, score string, _h string, position int, copies string, component_id string, row int, part int, kept string, fp string, lang_pred string"
+EXTRA = "size int, target string, shard int, slot string, n_words string, score string, _h string, position int, copies string, component_id string, row int, part int, kept string, fp string, lang_pred string, _base int, _k0 string, _in int, _b int, _extra int, _source string, _place int, _cum int, _u double, _w string, _l string, _row string, _t int, _slope string, _bend int, _s string, _n int, node string, _text int, _id string, fail_bits string, dims int, target_bytes int"
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -48,5 +48,17 @@ def write(spark, folder, docs=None, extra: bool = True, **more) -> str:
     return str(folder)
 
 
+def extras() -> list[str]:
+    return [n.split()[0] for n in EXTRA.split(", ")]
+
+
+def assert_kept(rows, results, but=()) -> None:
+    """Columns with clashing names keep their values, but those named like results."""
+    names = [n for n in extras() if n not in results and n not in but]
+    for r in rows:
+        d = r.asDict()
+        assert all(float(d[n]) == 7 for n in names), d
+
+
 def texts(spark, folder) -> list:
     return spark.read.parquet(f"{folder}/documents.parquet").collect()
