@@ -5,16 +5,19 @@ Sources in order of code points, null last, weigh 5, 2, 1, repeating. All words
 sorted by stop / weight, and the stopped ones are a prefix of that order.
 
 A source's weight changes over the training time t in [0, 1] as 1 + slope * (2t - 1). Its integral is t + slope * (t^2 - t), 1 at the
-end, so the whole run meets the target. A document's place in its source's token stream, inverted through that demand, is its
-training position; emit() repeats documents by their copies and range-sorts them by position.
+end, so the whole run meets the target. A document's place in its source's token stream, inverted through that source's demand, is the time at
+which it is due. By then the run has used all sources' demands, sum of target * (t + slope * (t^2 - t)): divided by all targets, that is the
+document's training position, the share of the run's tokens before it. So positions are evenly filled with tokens whatever the slopes.
+emit() repeats documents by their copies and range-sorts them by position.
 
-Documents go whole, in hash order within their source: floor(target / size) passes over all, and one copy more of those whose
+Documents go whole, in hash order (of doc_id and text) within their source: floor(target / size) passes over all, and one copy more of those whose
 middle lies within the rest. So a source's taken words miss its target by half a document at most. Order and sums run in hash
-buckets whose number grows with the rows; no task holds a whole source.
+buckets whose number grows with the rows; no task holds a whole source, or all documents without a doc_id. Rows that repeat doc_id and text are first summed
+up by a salt of their row number, so that they spread as well. The table of sources is ordered in one task: some 100 bytes a source.
 
 Defined cases: null text has size 0 and takes 0; a source without words has target 0, its documents no copies; null doc_id
-takes part as any other; equal doc_ids are ordered by size; an empty table gives an empty result; other columns pass
-through, but columns named like the results are replaced.
+takes part as any other; equal doc_ids are ordered by text; an empty table gives an empty result; other columns pass
+through, whatever their names, but columns named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -22,20 +25,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._util import WORD, buckets_for, materialize, running, table
+from ._util import WORD, buckets_for, materialize, nested, running, table, unnested
 
 WEIGHTS = (5, 2, 1)
 SLOPES = (-0.5, 0.0, 0.5)
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """Adds size (words) and the hash that orders documents within their source."""
-    order = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
-    return docs.withColumns({"size": F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)).cast("long"), "_h": order})
+SALTS = 64
 
 
-def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3) -> DataFrame:
-    """source, source_size, weight's place, target; one row a source. The windows run over that table only."""
+def sized(docs: DataFrame, text: bool = False) -> DataFrame:
+    """_row (the document, without its text unless asked for), doc_id, source, size (words), the hash that orders documents within their source, and a salt of the row's number."""
+    kept = docs if text else docs.drop("text")
+    rows = nested(docs, "doc_id", "source", "text") if text else docs.select(nested_of(kept), "doc_id", "source", "text")
+    body = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    order = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("-"), F.md5(body))), 1, 15), 16, 10).cast("long")
+    return rows.select("_row", "doc_id", "source", F.regexp_count(body, F.lit(WORD)).cast("long").alias("size"), order.alias("_h"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int").alias("_s"))
+
+
+def nested_of(docs: DataFrame) -> Column:
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("_row")
+
+
+def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, slopes: tuple[float, ...] = SLOPES, most: int = 3) -> DataFrame:
+    """source, source_size, _slope, target, _bend (all sources' slope); one row a source. The windows run over that table only."""
     by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("_place") % len(weights) + 1).cast("int")).cast("long")
@@ -48,7 +61,14 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3)
     fits = F.col("_stop") >= level * F.col("_weight")
     s = s.withColumn("_level", F.when(fits, level))
     from_here = F.first("_level", ignorenulls=True).over(Window.orderBy(F.col("_stop") / F.col("_weight"), "_place").rowsBetween(Window.unboundedPreceding, 0))
-    return s.withColumn("_at", from_here).select("source", "source_size", "_place", F.when(F.col("_at").isNull(), F.col("_stop").cast("double")).otherwise(F.least(F.col("_at") * F.col("_weight"), F.col("_stop").cast("double"))).alias("target"))
+    target = F.when(F.col("_at").isNull(), F.col("_stop").cast("double")).otherwise(F.least(F.col("_at") * F.col("_weight"), F.col("_stop").cast("double")))
+    slope = F.element_at(F.array(*[F.lit(float(x)) for x in slopes]), (F.col("_place") % len(slopes) + 1).cast("int"))
+    s = s.withColumn("_at", from_here).withColumns({"target": target, "_slope": slope})
+    # the slope of all demands together
+    ordered = Window.orderBy("_place").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    total = F.sum("target").over(ordered)
+    bend = F.when(total > 0, F.sum(F.col("target") * F.col("_slope")).over(ordered) / total).otherwise(0.0)
+    return s.select("source", "source_size", "_slope", "target", bend.alias("_bend"))
 
 
 def invert(u: Column, slope: Column) -> Column:
@@ -58,45 +78,55 @@ def invert(u: Column, slope: Column) -> Column:
     return F.when(slope == 0, u).otherwise(F.least(F.greatest(root, F.lit(0.0)), F.lit(1.0)))
 
 
+def position(time: Column) -> Column:
+    """The share of the run's tokens that are due before a time."""
+    return time + F.col("_bend") * (time * time - time)
+
+
 def plan(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, slopes: tuple[float, ...] = SLOPES, most: int = 3) -> DataFrame:
-    """Of sized rows: source_size, target, copies, taken, position of the first copy, and how far a pass moves it (_ahead, _slope)."""
+    """Of stored sized rows: source_size, target, copies, taken, position of the first copy; _u, its place in the source's demand, and _ahead, how far a pass moves it."""
+    key = ["source", "_h", "doc_id", "size", "_s"]
+    groups = sizes.groupBy(*key).agg(F.sum("size").alias("_words"))  # equal rows with equal salts are one
     n = buckets_for(sizes.count())
-    rows = sizes.withColumn("_b", F.floor(F.col("_h") / F.lit(float(1 << 60)) * n).cast("long"))
-    rows = running(rows, ["source"], "_b", ["_h", "doc_id", "size"], F.col("size"), "_cum")
-    t = targets(sizes, weights, most).withColumnRenamed("source", "_source")
-    rows = rows.join(t, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source", "_b")
+    groups = running(groups.withColumn("_b", F.floor(F.col("_h") / F.lit(float(1 << 60)) * n).cast("long")), ["source"], "_b", ["_h", "doc_id", "size", "_s"], F.col("_words"), "_start")
+    groups = groups.select(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(key)], "_start")
+    again = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0))) - 1
+    same = [F.col(k).eqNullSafe(F.col(f"_g{i}")) for i, k in enumerate(key)]
+    rows = sizes.withColumn("_again", again).join(groups, same, "left")
+    rows = rows.withColumn("_cum", F.col("_start") + F.col("_again") * F.col("size")).drop("_start", "_again", "_s", *[f"_g{i}" for i in range(len(key))])
+    t = targets(sizes, weights, slopes, most).withColumnRenamed("source", "_source")
+    rows = rows.join(t, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
     size = F.col("source_size")
     passes = F.when(size > 0, F.floor(F.col("target") / size)).otherwise(0)
     rest = F.col("target") - F.col("_passes") * size
     more = F.when((size > 0) & (2 * F.col("_cum") + F.col("size") <= 2 * rest), 1).otherwise(0)
     rows = rows.withColumn("_passes", passes).withColumn("copies", F.least(F.col("_passes") + more, F.lit(most)).cast("int"))
-    slope = F.element_at(F.array(*[F.lit(float(s)) for s in slopes]), (F.col("_place") % len(slopes) + 1).cast("int"))
     middle = F.col("_cum") + F.col("size") / 2
-    rows = rows.withColumns({"taken": F.col("copies") * F.col("size"), "_u": F.when(F.col("target") > 0, middle / F.col("target")).otherwise(0.0), "_ahead": F.when(F.col("target") > 0, size / F.col("target")).otherwise(0.0), "_slope": slope})
-    return rows.withColumn("position", invert(F.least(F.col("_u"), F.lit(1.0)), F.col("_slope"))).drop("_passes", "_place", "_cum")
+    rows = rows.withColumns({"taken": F.col("copies") * F.col("size"), "_u": F.when(F.col("target") > 0, middle / F.col("target")).otherwise(0.0), "_ahead": F.when(F.col("target") > 0, size / F.col("target")).otherwise(0.0)})
+    return rows.withColumn("_t", invert(F.least(F.col("_u"), F.lit(1.0)), F.col("_slope"))).withColumn("position", position(F.col("_t"))).drop("_passes", "_cum", "_t")
 
 
-RESULTS = ("source_size", "target", "taken", "copies", "position")
+RESULTS = ["size", "source_size", "target", "taken", "copies", "position"]
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """All columns of the documents but the text, with their part in the mix. The sizes are written once, the texts read once."""
-    return plan(materialize(sized(docs.drop(*RESULTS)).drop("text"), "mix-sizes"), **how)
+    return unnested(plan(materialize(sized(docs), "mix-sizes"), **how), [c for c in docs.columns if c.lower() != "text"], RESULTS)
 
 
 def emit(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: each document as often as it is taken, range-sorted by training position. All columns as they were."""
-    rows = sized(docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "source", "text"))
-    keys = ["doc_id", "source", "size"]
-    p = plan(materialize(rows.select(*keys, "_h"), "mix-sizes"), **how)
-    # rows that agree in these keys differ in nothing that the plan uses, so their places are given out in any order
-    p = p.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("_u"))).filter("copies > 0")
-    p = p.select(*[F.col(k).alias(f"_p_{k}") for k in keys], "_r", "_u", "_ahead", "_slope", "copies")
-    rows = rows.withColumn("_r0", F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("text")))).drop("_h", "text")
-    on = [F.col(k).eqNullSafe(F.col(f"_p_{k}")) for k in keys] + [F.col("_r0") == F.col("_r")]
-    out = rows.join(p, on).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    out = out.withColumn("position", invert(F.least(F.col("_u") + F.col("_k") * F.col("_ahead"), F.lit(1.0)), F.col("_slope")))
-    return out.orderBy("position", "doc_id").select("_row.*")
+    rows = sized(docs, text=True)
+    p = plan(materialize(rows.drop("_row"), "mix-sizes"), **how)
+    # joined by one number, as rows that agree in it, that is in doc_id and text, may take each other's places
+    p = p.select(F.xxhash64("source", "_h", "doc_id", "size").alias("_p"), "_u", "_ahead", "_slope", "_bend", "copies")
+    p = p.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy("_u"))).filter("copies > 0")
+    rows = rows.select("_row", F.xxhash64("source", "_h", "doc_id", "size").alias("_q"))
+    rows = rows.withColumn("_r0", F.row_number().over(Window.partitionBy("_q").orderBy(F.lit(0))))
+    out = rows.join(p, (F.col("_q") == F.col("_p")) & (F.col("_r0") == F.col("_r"))).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    time = invert(F.least(F.col("_u") + F.col("_k") * F.col("_ahead"), F.lit(1.0)), F.col("_slope"))
+    out = out.withColumn("_t", time).withColumn("position", position(F.col("_t")))
+    return out.orderBy("position", F.col("_q")).select("_row.*")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,20 +136,21 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-                  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
+                  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '-' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS h FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source),
 w AS (SELECT *, [5, 2, 1][place % 3 + 1]::BIGINT AS weight, [-0.5, 0.0, 0.5][place % 3 + 1]::DOUBLE AS slope, 3 * source_size AS stop FROM s),
 c AS (SELECT *, sum(source_size) OVER () - coalesce(sum(stop) OVER o, 0) AS free, sum(weight) OVER () - coalesce(sum(weight) OVER o, 0) AS rest
       FROM w WINDOW o AS (ORDER BY stop::DOUBLE / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 l AS (SELECT *, first(CASE WHEN stop >= free::DOUBLE / rest * weight THEN free::DOUBLE / rest END IGNORE NULLS)
                 OVER (ORDER BY stop::DOUBLE / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS level FROM c),
-t AS (SELECT source, source_size, slope, CASE WHEN level IS NULL THEN stop::DOUBLE ELSE least(level * weight, stop::DOUBLE) END AS target FROM l),
-r AS (SELECT d.*, t.source_size, t.slope, t.target,
+t0 AS (SELECT source, source_size, slope, place, CASE WHEN level IS NULL THEN stop::DOUBLE ELSE least(level * weight, stop::DOUBLE) END AS target FROM l),
+t AS (SELECT *, CASE WHEN sum(target) OVER () > 0 THEN sum(target * slope) OVER () / sum(target) OVER () ELSE 0.0 END AS bend FROM t0),
+r AS (SELECT d.*, t.source_size, t.slope, t.target, t.bend,
              coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cum
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 k AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS passes FROM r),
 x AS (SELECT *, CASE WHEN source_size > 0 THEN least(passes + CASE WHEN 2 * cum + size <= 2 * (target - passes * source_size) THEN 1 ELSE 0 END, 3) ELSE 0 END::INT AS copies,
-             CASE WHEN target > 0 THEN least((cum + size / 2) / target, 1.0) ELSE 0.0 END AS u FROM k)
-SELECT doc_id, size, source_size, target, copies * size AS taken, copies,
-       round(CASE WHEN slope = 0 THEN u ELSE least(greatest((sqrt((1 - slope) * (1 - slope) + 4 * slope * u) - (1 - slope)) / (2 * slope), 0), 1) END, 6) AS position FROM x
+             CASE WHEN target > 0 THEN least((cum + size / 2) / target, 1.0) ELSE 0.0 END AS u FROM k),
+y AS (SELECT *, CASE WHEN slope = 0 THEN u ELSE least(greatest((sqrt((1 - slope) * (1 - slope) + 4 * slope * u) - (1 - slope)) / (2 * slope), 0), 1) END AS t FROM x)
+SELECT doc_id, size, source_size, target, copies * size AS taken, copies, round(t + bend * (t * t - t), 6) AS position FROM y
 """

@@ -98,3 +98,35 @@ def test_empty_and_wordless(spark, tmp_path):
 def test_native_plan(spark, tmp_path):
     plan = mixing.op6_mixing(spark, tables.write(spark, tmp_path))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_clashing_columns_pass(spark, tmp_path):
+    docs = spark.read.parquet(tables.write(spark, tmp_path) + "/documents.parquet")
+    tables.assert_kept(mixing.mix(docs).collect(), set(mixing.RESULTS))
+    tables.assert_kept(mixing.emit(docs).collect(), set())
+
+
+def test_positions_are_shares_of_the_run(spark, tmp_path):
+    """Words taken before a document, of all sources, are its position's share, whatever the slopes."""
+    rng = random.Random(9)
+    docs = [(i, "w " * rng.randint(1, 9), None, f"s{min(2, i % 5)}", 1) for i in range(900)]
+    folder = tables.write(spark, tmp_path, docs, extra=False)
+    out = mixing.emit(spark.read.parquet(f"{folder}/documents.parquet"))
+    n = out.count()
+    by_id = {r.doc_id: r for r in mixing.mix(spark.read.parquet(f"{folder}/documents.parquet")).collect()}
+    total, seen = sum(r.taken for r in by_id.values()), 0
+    first = {}
+    for k, r in enumerate(out.select("doc_id").collect()):
+        if r.doc_id not in first:
+            first[r.doc_id] = seen / total
+        seen += by_id[r.doc_id].size
+    assert n == sum(r.copies for r in by_id.values())
+    assert all(abs(first[d] - by_id[d].position) < 0.02 for d in first)
+
+
+def test_repeated_rows(spark, tmp_path):
+    """A third of all rows are one row, and as many have no doc_id."""
+    docs = [(7, "same words here", None, "a", 1)] * 100 + [(None, f"text {i}", None, "a", 1) for i in range(100)] + [(1000 + i, "w " * 9, None, "b", 1) for i in range(100)]
+    folder = tables.write(spark, tmp_path, docs, extra=False)
+    check(mixing.mix(spark.read.parquet(f"{folder}/documents.parquet")).collect(), tables.texts(spark, folder))
+    same(mixing.op6_mixing(spark, folder), mixing.ORACLE, folder)
