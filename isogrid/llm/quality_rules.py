@@ -1,10 +1,10 @@
 """Quality rules as a ledger of bits, in DataFrame expressions only.
 
-Each rule is evaluated once a document: its measurements and one failure bit a rule go into the ledger. A policy
-is a version and the mask of the rules that reject; policies and ablations read the bits, never the texts.
+Each rule is evaluated once a document: its measurements and one failure bit a rule go into the ledger, which is stored. A policy
+is a version and the mask of the rules that reject; policies and ablations read the stored bits, never the texts.
 
 Defined cases: null text has no words and fails SHORT; an empty table gives an empty ledger; repeated rows are judged each
-for itself; other columns pass through, but a column named like a measurement is replaced.
+for itself; other columns pass through, whatever their names, but a column named like a measurement is replaced.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import ASCII_SPACE, WORD, table
+from ._util import ASCII_SPACE, WORD, materialize, nested, table, unnested
 
 SYMBOLS = "#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_exclaim")
@@ -64,13 +64,14 @@ def _repeat_words(w: Column) -> Column:
 
 def ledger(docs: DataFrame) -> DataFrame:
     """The documents with their measurements and fail_bits."""
+    rows = nested(docs, "text")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     drop = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
     by_words = _let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _repeat_words(w).alias("n_repeat_words")))
     by_lines = _let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
-    measured = docs.withColumns(
+    measured = rows.withColumns(
         {
             "_w": by_words,
             "_l": by_lines,
@@ -80,7 +81,7 @@ def ledger(docs: DataFrame) -> DataFrame:
         }
     ).withColumns({"n_words": F.col("_w.n_words"), "n_repeat_words": F.col("_w.n_repeat_words"), "n_lines": F.col("_l.n_lines"), "n_dup_lines": F.col("_l.n_dup_lines")})
     bits = reduce(lambda a, b: a.bitwiseOR(b), [F.when(failed(), F.lit(1 << bit)).otherwise(0) for bit, failed in RULES.values()])
-    return measured.drop("_w", "_l").withColumn("fail_bits", bits.cast("long"))
+    return unnested(measured.withColumn("fail_bits", bits.cast("long")), docs.columns, [*MEASURES, "fail_bits"])
 
 
 def apply_policy(book: DataFrame, version: str, out: str = "kept") -> DataFrame:
@@ -100,13 +101,29 @@ def ablations(book: DataFrame, version: str) -> DataFrame:
     )
 
 
+def ablation_report(book: DataFrame) -> DataFrame:
+    """The ablations of all policies: version, rule, failed, failed_alone, kept_without."""
+    reports = [ablations(book, v).select(F.lit(v).alias("version"), "rule", "failed", "failed_alone", "kept_without") for v in POLICIES]
+    return reduce(DataFrame.unionByName, reports)
+
+
+def stored(docs: DataFrame) -> DataFrame:
+    """The ledger, written to the shared folder: doc_id, measurements, fail_bits."""
+    return materialize(ledger(docs.select("doc_id", "text")).select("doc_id", *MEASURES, "fail_bits"), "quality-ledger")
+
+
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which rule of which policy rejects how many documents, from the bits of the stored ledger."""
+    return ablation_report(stored(table(spark, sf_dir, "documents")))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = apply_policy(ledger(table(spark, sf_dir, "documents")), "v2")
+    book = apply_policy(stored(table(spark, sf_dir, "documents")), "v2")
     failed = F.col("fail_bits").bitwiseAND(mask(BASE)) != 0
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept", "n_lines", "n_exclaim", "fail_bits")
 
 
-ORACLE = r"""
+_LEDGER = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
              list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
@@ -122,5 +139,9 @@ b AS (SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_re
                  + CASE WHEN 100 * n_symbols > 20 * n_words THEN 4 ELSE 0 END + CASE WHEN 100 * n_dup_lines > 50 * n_lines THEN 8 ELSE 0 END
                  + CASE WHEN word_chars < 2 * n_words OR word_chars > 20 * n_words THEN 16 ELSE 0 END
                  + CASE WHEN 100 * n_exclaim > 60 * n_words THEN 32 ELSE 0 END)::BIGINT AS fail_bits FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, n_lines, n_exclaim, fail_bits FROM b
 """
+
+ORACLE = _LEDGER + "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, n_lines, n_exclaim, fail_bits FROM b"
+
+_ONE = "SELECT '{version}' AS version, '{rule}' AS rule, coalesce(sum(CASE WHEN fail_bits & {bit} <> 0 THEN 1 ELSE 0 END), 0)::BIGINT AS failed, coalesce(sum(CASE WHEN fail_bits & {mask} = {bit} THEN 1 ELSE 0 END), 0)::BIGINT AS failed_alone, coalesce(sum(CASE WHEN fail_bits & {rest} = 0 THEN 1 ELSE 0 END), 0)::BIGINT AS kept_without FROM b"
+ABLATIONS = _LEDGER + " UNION ALL ".join(_ONE.format(version=v, rule=r, bit=1 << RULES[r][0], mask=mask(rules), rest=mask(rules) & ~(1 << RULES[r][0])) for v, rules in POLICIES.items() for r in rules)

@@ -29,9 +29,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_token_files": op9_token_files,
     "op10_sharding": op10_sharding,
+    "quality_ablations": quality_rules.quality_ablations,
 }
 ORACLES: dict[str, str] = {
     "op3_quality_rules": quality_rules.ORACLE,
+    "quality_ablations": quality_rules.ABLATIONS,
     "op5_warc": oracles.WARC,
     "op6_mixing": mixing.ORACLE,
     "op8_decontaminate": oracles.DECONTAMINATE,

@@ -51,6 +51,16 @@ def test_kept_follows_the_policy_and_ablations(spark, tmp_path):
             assert (r.failed, r.failed_alone, r.kept_without) == (sum(b & bit != 0 for b in bits), sum(b & m == bit for b in bits), sum(not b & m & ~bit for b in bits))
 
 
+def test_clashing_columns_pass(spark, tmp_path):
+    docs = spark.read.parquet(tables.write(spark, tmp_path) + "/documents.parquet")
+    tables.assert_kept(qr.ledger(docs).collect(), {*qr.MEASURES, "fail_bits"})
+
+
+def test_ablations_against_sql(spark, tmp_path):
+    folder = tables.write(spark, tmp_path, [d for d in tables.documents() if d[0] not in (None, 3)], extra=False)
+    same(qr.quality_ablations(spark, folder), qr.ABLATIONS, folder)
+
+
 def test_rules_on_nothing(spark, tmp_path):
     assert qr.op3_quality_rules(spark, tables.write(spark, tmp_path, [])).collect() == []
 
