@@ -7,8 +7,8 @@ filter is a table of weights by offset and byte; for inference, tables of byte p
 Every window of a text is read: windows of `LENGTH` bytes side by side, the last one moved back to end with the text; a text below a
 window's length is padded with zero bytes. A text's probabilities are the mean over its windows.
 
-The training sample is bounded: at most about PER_LANGUAGE documents a language and WINDOWS windows of each, chosen by hash. It is
-the only thing that reaches the driver; the number of languages is taken to be small.
+The training sample is bounded: about PER_LANGUAGE different texts a language and WINDOWS windows of each, chosen by hash of the text, twice as many in all
+at most. It is the only thing that reaches the driver; the number of languages is taken to be small.
 
 Defined cases: null text, or text without a letter, is `und` with score 0; rows without a language are not learned from; without any
 labelled text all are `und`; repeated rows are predicted each; an empty table gives an empty result; other columns pass through,
@@ -140,8 +140,10 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> ByteCNN | No
     if not counts:
         return None
     arrow_batches(labelled.sparkSession)
-    picked = bounded(rows, "lang", counts, per_language, F.col("doc_id")).select(F.col("text").cast("string"), F.col("lang").cast("string"))
-    t = picked.mapInArrow(_sample, "w binary, lang string").toArrow()
+    picked = bounded(rows, "lang", counts, per_language, F.col("text")).select(F.col("text").cast("string"), F.col("lang").cast("string"))
+    # texts are chosen by their own hash and count once, however often they repeat; the limit holds even if the shares don't
+    once = picked.dropDuplicates(["text", "lang"]).mapInArrow(_sample, "w binary, lang string")
+    t = once.orderBy(F.xxhash64("w", "lang"), "w", "lang").limit(2 * per_language * WINDOWS * len(counts)).toArrow()
     if not t.num_rows:
         return None
     order = sorted(range(t.num_rows), key=lambda i, w=t["w"].to_pylist(): w[i])  # the order of arrival doesn't count

@@ -4,7 +4,7 @@ Words here are maximal runs of one kind of bytes, letters and digits (and all be
 BUCKETS; each bucket has a fixed sparse random index vector. A word's vector is the sum of the index vectors of its neighbours over the whole
 corpus, one pass with sums by bucket: its size is fixed by BUCKETS and DIMS, whatever the input. A document is pooled to the mean and
 the deviation of its words' unit vectors, how far neighbours agree, and the logarithm of its number of words; the features
-are written once. The network learns from at most about SAMPLE labelled rows, chosen by hash, a fifth of which set the temperature.
+are written once. The network learns from at most SAMPLE labelled rows, chosen by hash, a fifth of which set the temperature.
 
 Defined cases: null and empty texts pool to zero and are scored like any other; rows without a label are not learned from; repeated
 labels count each; without any labels all score 0.5; repeated documents are scored each; an empty table gives an empty result;
@@ -192,9 +192,12 @@ def train(pooled: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network
     if not n:
         return None
     picked = bounded(rows, "all", {0: n}, sample, F.col("_id"))
-    t = pooled.join(picked, F.col("doc_id") == F.col("_id")).select("doc_id", "features", "y").orderBy("doc_id", "y", "features").toArrow()
+    joined = pooled.join(picked, F.col("doc_id") == F.col("_id")).select("doc_id", "features", "y")
+    # a doc_id may repeat any number of times: of the joined rows too, no more than the sample, by a hash of the row
+    t = joined.orderBy(F.xxhash64("doc_id", "features", "y"), "doc_id", "y", "features").limit(sample).toArrow()
     if not t.num_rows:
         return None
+    t = t.sort_by([("doc_id", "ascending"), ("y", "ascending"), ("features", "ascending")])
     x = np.frombuffer(b"".join(t["features"].to_pylist()), "<f4").reshape(-1, FEATURES).astype(np.float64)
     model = Network()
     model.fit(x, t["y"].to_numpy().astype(np.float64))
