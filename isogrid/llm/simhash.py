@@ -1,15 +1,17 @@
 """SimHash near-duplicates through an inverted index of byte positions with count filtering.
 
 Fingerprints of 64 bits link at `most` = 3 or fewer differing bits. These lie in at most 3 of the 8 bytes, so linked fingerprints
-share at least 5 bytes in place, the guaranteed minimum. Lists of single bytes would hold a 256th of all fingerprints each, and
-pairs would grow with the square of the rows; so the index posts each fingerprint under blocks of 4 positions with their bytes. The 14 blocks of
-the Steiner quadruple system on 8 points do: for any 3 positions that differ, some block holds none of them (each triple lies in
-one block, whose complement is a block too). For each pair in a list, the shared positional bytes are tallied; pairs with 5 or more are verified.
-
-Equal fingerprints are one node, so copies never form pairs. A list of more than `long_list` fingerprints is not paired:
-there, each fingerprint posts all variants with up to 2 flips of the block's other 32 bits as `far`, with up to 1 as `near`.
+share at least 5 bytes in place. Lists of single bytes would hold a 256th of all fingerprints each, and their pairs would grow with a 64th of the square of the
+rows; so the index posts each fingerprint under every triple of positions with its three bytes, 56 lists. A pair that shares m positional bytes meets
+in C(m, 3) of them. These meetings are tallied for each pair; pairs that reach C(5, 3) = 10, the guaranteed minimum, stay, those with fewer
+(three or four shared bytes) go; what stays is verified on all bits.
+
+Equal fingerprints are one node, so copies never form pairs. A list of more than `long_list` fingerprints is not paired, which would cost the square
+of its length. Two fingerprints of which some common list is long are both `hot`, and their link is found in another way: each hot one posts, under each of 14
+blocks of four positions with their bytes, all variants with up to 2 flips of the other 32 bits as `far`, with up to 1 as `near`. The blocks
+are the Steiner quadruple system on 8 points: for any 3 positions that differ, some block holds none of them.
 Two fingerprints are within 3 bits exactly if a far variant of one is a near variant of the other. All that hold a
-variant link to its least near one, so a list costs rows in proportion to its length, and components lose no link.
+variant link to its least near one, so hot fingerprints cost rows in proportion to their number, and components lose no link.
 
 Defined cases: null and wordless texts have fingerprint zero and link like any other; shorter texts than a shingle are one
 shingle; null doc_id never becomes a component's id unless all its members' are null; repeated rows are members like any other; an empty
@@ -20,18 +22,21 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._util import arrow_batches, materialize, table
 from .components import components
 
 MOST, BYTES = 3, 8
-MINIMUM = BYTES - MOST
+MINIMUM = comb(BYTES - MOST, 3)
+#: Under which positional bytes a fingerprint is posted.
+TRIPLES = list(combinations(range(BYTES), 3))
 #: Quads of positions whose numbers, as 3-bit vectors, add up to zero: each triple of positions lies in one of them.
 BLOCKS = [q for q in combinations(range(BYTES), 4) if q[0] ^ q[1] ^ q[2] ^ q[3] == 0]
 LONES = np.uint64(0x0101010101010101)
@@ -82,23 +87,17 @@ def _byte(x: Column, k: int) -> Column:
     return F.shiftrightunsigned(x, 8 * k).bitwiseAND(255)
 
 
-def postings(prints: DataFrame) -> DataFrame:
-    """fp under each of the 14 blocks: key holds the block's number and its four bytes."""
+def postings(prints: DataFrame, groups: list[tuple[int, ...]] = TRIPLES) -> DataFrame:
+    """fp under each group of positions: key holds the group's number and its bytes."""
     keys = []
-    for b, block in enumerate(BLOCKS):
-        key = F.lit(b).cast("long")
-        for k in block:
+    for number, group in enumerate(groups):
+        key = F.lit(number).cast("long")
+        for k in group:
             key = F.shiftleft(key, 8).bitwiseOR(_byte(F.col("fp"), k))
         keys.append(key)
     return prints.select("fp", F.explode(F.array(*keys)).alias("key"))
 
 
-def shared_bytes(a: Column, b: Column) -> Column:
-    """How many bytes agree in place."""
-    x = a.bitwiseXOR(b)
-    return sum((F.when(_byte(x, k) == 0, 1).otherwise(0) for k in range(BYTES)), F.lit(0))
-
-
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All values within 2 flips of the bytes outside the block; near says within 1."""
     flips = []
@@ -117,14 +116,14 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(prints: DataFrame, long_list: int = 512) -> DataFrame:
     """Edges (a, b) between distinct fingerprints, enough for the components of all links within 3 bits."""
-    posted = postings(prints)
-    sizes = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    held = materialize(posted.join(sizes, "key"), "simhash-lists")
-    short, long_ = held.filter(F.col("n") <= long_list), held.filter(F.col("n") > long_list)
+    sized = postings(prints).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1")
+    held = materialize(sized, "simhash-lists")
+    short = held.filter(F.col("n") <= long_list)
     a, b = short.select("key", F.col("fp").alias("a")), short.select("key", F.col("fp").alias("b"))
-    tallied = a.join(b, "key").filter("a < b").withColumn("shared", shared_bytes(F.col("a"), F.col("b"))).filter(F.col("shared") >= MINIMUM)
+    tallied = a.join(b, "key").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= MINIMUM)
     pairs = tallied.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MOST).select("a", "b")
-    variants = long_.select("fp", "key").mapInArrow(_variants, "fp long, key long, value long, near boolean")
+    hot = postings(held.filter(F.col("n") > long_list).select("fp").distinct(), BLOCKS)
+    variants = hot.mapInArrow(_variants, "fp long, key long, value long, near boolean")
     centres = variants.groupBy("key", "value").agg(F.min(F.when(F.col("near"), F.col("fp"))).alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND a IS NOT NULL").select("key", "value", "a")
     stars = variants.join(centres, ["key", "value"]).select("a", F.col("fp").alias("b")).filter("a <> b")
     return pairs.union(stars).distinct()

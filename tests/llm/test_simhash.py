@@ -42,6 +42,17 @@ def test_blocks_avoid_any_three_positions():
         assert any(not set(bad) & set(b) for b in simhash.BLOCKS)
 
 
+def test_tally_separates_shared_bytes():
+    """Pairs that share m bytes in place meet in C(m, 3) lists: only from five shared bytes on, the minimum is reached."""
+    rng = random.Random(0)
+    for m in range(9):
+        x = rng.getrandbits(64).to_bytes(8, "little")
+        same = set(rng.sample(range(8), m))
+        y = bytes(c if i in same else c ^ rng.randint(1, 255) for i, c in enumerate(x))
+        meet = sum(all(x[i] == y[i] for i in t) for t in simhash.TRIPLES)
+        assert (meet >= simhash.MINIMUM) == (m >= 5)
+
+
 @pytest.mark.parametrize("words", [0, 1, 2, 3, 4, 255, 257, 258, 600, 70_000])
 def test_fingerprints(words):
     t = tables.prose(random.Random(words), words)
