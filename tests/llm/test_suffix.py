@@ -72,3 +72,20 @@ def test_other_thresholds_and_unstable_input(spark):
 
 def test_empty(spark, tmp_path):
     assert op1_suffix_dedup(spark, tables.write(spark, tmp_path, [])).collect() == []
+
+
+def test_text_over_a_slice(spark, tmp_path):
+    """A text of over two megabytes, with repeats across the border of a slice, and in other documents."""
+    rng = random.Random(8)
+    long = "".join(rng.choices("abcdefghij \n", k=2_100_000))
+    docs = [(1, long[:1_999_950] + long[500:900] + long[1_999_950:], None, None, 0), (2, long[1_999_800:2_000_300] + " " * 500, None, None, 0), (0, long[77:400], None, None, 0)]
+    got, rows = check(spark, tables.write(spark, tmp_path, docs, extra=False))
+    assert got == brute(rows)
+
+
+def test_name_with_many_pairs(spark, tmp_path):
+    """One gram with very many surroundings, in many batches: spread over tasks, its rank the same in all."""
+    rng = random.Random(12)
+    docs = [(i, "".join(rng.choice("xyz") for _ in range(rng.randint(30, 60))) + "=" * 60 + rng.choice(["one", "two", "three"]) * 12 + "".join(rng.choice("uv") for _ in range(rng.randint(1, 40))), None, None, 0) for i in range(1500)]
+    got, rows = check(spark, tables.write(spark, tmp_path, docs, extra=False))
+    assert got == brute(rows)
