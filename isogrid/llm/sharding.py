@@ -57,6 +57,11 @@ def _small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.range(0, 1, 1, 1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{fields}>>")))
 
 
+def _root() -> Column:
+    """Zero, in a form that the optimizer doesn't fold: a join by a constant would have no key left."""
+    return (F.col("size") * 0).cast("int")
+
+
 def _step(i: int) -> tuple[Column, Column]:
     """The point's coordinate in the i-th step's dimension, and that step's value."""
     return F.get(F.array(*[F.col(d).cast("long") for d in ORDER]), F.get("dims", F.lit(i))), F.get("values", F.lit(i))
@@ -105,7 +110,7 @@ def grow(points: DataFrame, shards: int, slack: float = 0.01) -> list[dict[int,
     whole = {d: max(1, (spans["hi" + d] or 0) - (spans["lo" + d] or 0)) for d in DIMS}
     limit = slack * (spans["b"] or 0) / shards
     level, tree = {0: shards}, []
-    points = points.withColumn("node", F.lit(0))
+    points = points.withColumn("node", _root())
     while any(n > 1 for n in level.values()):
         aggs = [F.sum("size").alias("b"), *[f(d).alias(n + d) for d in DIMS for f, n in ((F.min, "lo"), (F.max, "hi"))]]
         splits: dict[int, dict] = {i: {"dims": [0], "values": [0], "ties": False} for i, n in level.items() if n > 1}  # as they stay without rows
@@ -143,7 +148,7 @@ def descend(points: DataFrame, splits: dict[int, tuple]) -> DataFrame:
 
 def place(rows: DataFrame, tree: list[dict[int, tuple]], count: int, per_bucket: int = 100_000) -> DataFrame:
     """Adds shard and slot to measured rows. One task orders per_bucket rows at a time: fewer where rows hold their texts."""
-    rows = rows.withColumn("node", F.lit(0))
+    rows = rows.withColumn("node", _root())
     for splits in tree:
         rows = descend(rows, splits)
     # by a hash of all that tells rows apart, so that a frequent doc_id, or text, spreads over the buckets
