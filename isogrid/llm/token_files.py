@@ -39,6 +39,7 @@ FRAME = 1 << 16
 CACHE = 800_000  # words that are kept with their ids
 KEPT = 64 << 20  # bytes of long words that are kept
 INDEX_MAGIC, SEEK_MAGIC, FOOT_MAGIC = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
+LETTERS, MARKS = (np.isin(np.arange(256), list(x)) for x in (b"abcdefghijklmnopqrstuvwxyz", b".,;:!?*#$%&"))
 SPACES = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 _tokenizers: dict = {}
 
@@ -194,7 +195,9 @@ class Encoder:
                     self.table = WordTable(self.dtype)
                     return self._batch(texts[:half]) + self._batch(texts[half:])
             first = new[np.unique(key[0][new], return_index=True)[1]]
-            ids = [x for i in range(0, len(first), 4_000) for x in self._new([whole[a:b] for a, b in zip(start[first[i : i + 4_000]].tolist(), end[first[i : i + 4_000]].tolist())])]
+            pieces = self._simple(buf, start[first], end[first])
+            bounds = list(zip(start[first].tolist(), end[first].tolist()))
+            ids = [x for i in range(0, len(first), 4_000) for x in self._new([whole[a:b] for a, b in bounds[i : i + 4_000]], pieces[i : i + 4_000])]
             self.table.add(*[k[first] for k in key], buf, start[first], ids)
             slot[new] = self.table.find(*[k[new] for k in key], buf, start[new])
         count = self.table.count[slot].astype(np.int64)
@@ -205,26 +208,35 @@ class Encoder:
         at = ends[np.searchsorted(start, places)] * self.dtype.itemsize
         return [data[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
 
-    def _new(self, words: list[bytes]) -> list[bytes]:
-        simple, pieces, rest = [], [], []
-        for w in words:
-            n = self._pieces(w.decode()) if self.last is not None else 0
-            if n:
-                simple.append(w)
-                pieces.append(n)
-            else:
-                rest.append(w)
-        found: dict[bytes, bytes] = {}
-        groups = [slice(i, i + self.JOINED) for i in range(0, len(simple), self.JOINED)]
-        for g, data in zip(groups, self._encode([b" ".join(simple[g]) for g in groups])):
+    def _simple(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """What _pieces says of words of small letters with marks after them; -1 for the others."""
+        letters, marks = (np.r_[0, np.cumsum(kind[buf], dtype=np.int32)] for kind in (LETTERS, MARKS))
+        n, m = letters[end] - letters[start], marks[end] - marks[start]
+        plain = (n > 0) & (n + m == end - start) & (letters[start + n] - letters[start] == n)
+        return np.where(plain, 1 + (m > 0), -1)
+
+    def _new(self, words: list[bytes], pieces: np.ndarray) -> list[bytes]:
+        if self.last is None:
+            return self._encode(words)
+        for i in np.flatnonzero(pieces < 0).tolist():
+            pieces[i] = self._pieces(words[i].decode())
+        out: list[bytes] = [b""] * len(words)
+        simple, rest = np.flatnonzero(pieces), np.flatnonzero(pieces == 0).tolist()
+        groups = [simple[i : i + self.JOINED] for i in range(0, len(simple), self.JOINED)]
+        own = [g.tolist() for g in groups]
+        for g, places, data in zip(groups, own, self._encode([b" ".join([words[i] for i in g]) for g in own])):
             end = np.flatnonzero(self.last[np.frombuffer(data, self.dtype)]) + 1
-            if len(end) != sum(pieces[g]):
-                rest += simple[g]  # some letters are not as supposed
+            last = np.cumsum(pieces[g])
+            if len(end) != last[-1]:
+                rest += places  # some letters are not as supposed
                 continue
-            at = np.r_[0, end[np.cumsum(pieces[g]) - 1]] * self.dtype.itemsize
-            found.update(zip(simple[g], [data[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist())]))
-        found.update(zip(rest, self._encode(rest)))
-        return [found[w] for w in words]
+            a = 0
+            for i, z in zip(places, (end[last - 1] * self.dtype.itemsize).tolist()):
+                out[i] = data[a:z]
+                a = z
+        for i, data in zip(rest, self._encode([words[i] for i in rest])):
+            out[i] = data
+        return out
 
     def _encode(self, texts: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)

@@ -2,6 +2,7 @@ import io
 import random
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,10 +16,15 @@ from isogrid.llm import token_files as tf  # noqa: E402
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
-def encode(t):
+@lru_cache
+def tokenizer():
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(PATH).encode(t or "", add_special_tokens=False).ids + [2]
+    return Tokenizer.from_file(PATH)
+
+
+def encode(t):
+    return tokenizer().encode(t or "", add_special_tokens=False).ids + [2]
 
 
 def test_round_trip_of_the_table(spark, tmp_path):
