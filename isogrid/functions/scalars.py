@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 NODATA = -9999.0
 
 
-def near_divided(v: Column, res: Column | float) -> Column:
+def cut_to_cells(v: Column, res: Column | float) -> Column:
     """v plus its floored remainder by res, cut towards zero."""
     res = res if isinstance(res, Column) else F.lit(float(res))
     return (v + F.pmod(v, res)).cast("long")

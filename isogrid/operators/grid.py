@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import near_divided
+from ..functions.scalars import cut_to_cells
 
 
 @dataclass(frozen=True)
@@ -52,7 +52,7 @@ class Grid:
 
 def extent(points: DataFrame, resolution: float) -> DataFrame:
     """One row: xmin, ymin, xmax, ymax, ncol, nrow."""
-    ends = points.agg(*[near_divided(f(c), resolution).alias(f"{c}{n}") for c in "xy" for n, f in (("min", F.min), ("max", F.max))])
+    ends = points.agg(*[cut_to_cells(f(c), resolution).alias(f"{c}{n}") for c in "xy" for n, f in (("min", F.min), ("max", F.max))])
     count = lambda c: (((F.col(f"{c}max") - F.col(f"{c}min")) / F.lit(float(resolution))).cast("long") + 1)
     return ends.select("xmin", "ymin", "xmax", "ymax", count("x").alias("ncol"), count("y").alias("nrow"))
 

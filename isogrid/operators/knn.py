@@ -2,7 +2,8 @@
 
 Buckets are squares of the search radius, so all neighbours of a place lie in its bucket or the eight around it. The point side is
 sent to these nine; the query side, usually larger, to its own only. The rank window then runs within (bucket, query), which the
-join's partitioning satisfies: no second shuffle of the pairs. Dense buckets are split by adaptive skew joins.
+join's partitioning satisfies: no second shuffle of the pairs, unless a bucket is dense. Such buckets are split by the adaptive skew join, which knn_join
+allows at the price of a shuffle for the window (by default Spark gives the split up instead).
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ def radius_join(queries: DataFrame, points: DataFrame, radius: float, qx: str =
 
 def knn_join(queries: DataFrame, points: DataFrame, k: int, radius: float, key: tuple[str, ...] = ("row", "col"), qx: str = "gx", qy: str = "gy") -> DataFrame:
     """The k nearest of these pairs for each query, ties by id, with rank (from 1) and d."""
+    queries.sparkSession.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     near = Window.partitionBy("bx", "by", *key).orderBy("d2", "id")
     pairs = radius_join(queries, points, radius, qx, qy).withColumn("rank", F.row_number().over(near)).filter(F.col("rank") <= k)
     return pairs.withColumn("d", F.sqrt("d2")).drop("bx", "by", "d2")

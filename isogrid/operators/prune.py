@@ -31,26 +31,39 @@ def minimal_prefix(errors: DataFrame, accuracy: float, length: int) -> DataFrame
 
 
 class Prefixes:
-    """Errors of all prefixes of one block, from one cumulative sum of basis images."""
+    """Errors of the prefixes of one block, from cumulative sums of basis images, STEP of them at a time and only as far as they are asked for."""
+
+    STEP = 16
 
     def __init__(self, coefficients: np.ndarray, pixels: np.ndarray, kind: int):
         n = pixels.shape[0]
-        c, order = basis(n, kind), zigzag(n)
-        self.length, self.errors = n * n, np.full(n * n + 1, np.abs(pixels).max())
-        made = np.zeros((n, n))
-        for k, pos in enumerate(order):
-            u, v = divmod(int(pos), n)
-            x = coefficients[u, v]
-            if x:
-                made += x * np.outer(c[u], c[v])
-                self.errors[k + 1] = np.abs(pixels - made).max()
-            else:
-                self.errors[k + 1] = self.errors[k]
+        self.basis, self.order, self.length = basis(n, kind), zigzag(n), n * n
+        self.values, self.pixels, self.made = coefficients.ravel()[self.order], pixels, np.zeros((n, n))
+        self.known, self.found = 0, np.zeros(n * n + 1)
+        self.found[0] = np.abs(pixels).max()
+
+    def _extend(self, k: int) -> None:
+        n = self.pixels.shape[0]
+        while self.known < k:
+            part = slice(self.known, min(self.length, self.known + self.STEP))
+            u, v = np.divmod(self.order[part], n)
+            made = self.made + np.cumsum(self.values[part][:, None, None] * self.basis[u][:, :, None] * self.basis[v][:, None, :], axis=0)
+            self.found[part.start + 1 : part.stop + 1] = np.abs(self.pixels - made).max(axis=(1, 2))
+            self.made, self.known = made[-1], part.stop
+
+    @property
+    def errors(self) -> np.ndarray:
+        """Of all prefixes, from none to all coefficients."""
+        self._extend(self.length)
+        return self.found
 
     def minimal(self, accuracy: float) -> tuple[int, float]:
-        ok = np.flatnonzero(self.errors[1:] <= accuracy)
-        k = int(ok[0]) + 1 if len(ok) else self.length
-        return k, float(self.errors[k])
+        for k in range(0, self.length, self.STEP):
+            self._extend(min(self.length, k + self.STEP))
+            ok = np.flatnonzero(self.found[k + 1 : self.known + 1] <= accuracy)
+            if len(ok):
+                return k + int(ok[0]) + 1, float(self.found[k + int(ok[0]) + 1])
+        return self.length, float(self.found[self.length])
 
     def bisect(self, accuracy: float) -> tuple[int, float]:
         """Halving steps; once they are used up, two coefficients forward and one back, until the error is small enough or the rounds are."""

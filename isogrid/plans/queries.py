@@ -545,3 +545,84 @@ def archive_roundtrip(spark, sf):
     stream, head, cfg = read_archive(spark, at, "r1")
     back = decompress_raster(stream, head.height, head.width, cfg)
     return source.withColumnRenamed("value", "v").join(back, ["row", "col"]).select("row", "col", (F.abs(F.col("v") - F.col("value")) <= cfg.accuracy + 1e-9).alias("within"))
+
+
+@query("archive_rewrite", f"SELECT count(*)::BIGINT AS n, count(DISTINCT block_idx)::BIGINT AS blocks FROM ({SMOOTH_BLOCKS}) WHERE pos = 0")
+def archive_rewrite(spark, sf):
+    """A raster that is written twice is there once."""
+    from ..sinks.tables import read_archive, write_archive
+    from ..sources.raster import Raster
+
+    at = scratch(spark) + "/archive"
+    for _ in range(2):
+        write_archive(compress_raster(fx.smooth(spark, sf), 64, 64, config()), Raster(64, 64, (1.0, 0.0, 0.0, 0.0, 1.0, 0.0), "epsg:2180", -9999.0), config(), at, "r1")
+    return read_archive(spark, at, "r1")[0].agg(F.count(F.lit(1)).alias("n"), F.count_distinct("block_idx").alias("blocks"))
+
+
+@query("geotiff_lzw", f"SELECT row, col, round(value::FLOAT::DOUBLE, 4) AS value FROM ({fx.SMOOTH})")
+def geotiff_lzw(spark, sf):
+    from ..sinks.geotiff import write_geotiff
+    from ..sources.raster import read_raster
+
+    at = mounted(scratch(spark)) + "/raster.tif"
+    write_geotiff(fx.smooth(spark, sf), 64, 64, (1.0, 0.0, 0.0, 0.0, 1.0, 0.0), "epsg:2180", at, lzw=True)
+    return read_raster(spark, at).select("row", "col", F.round("value", 4).alias("value"))
+
+
+@query("ascii_grid_scan", f"SELECT row, col, round(value, 6) AS value FROM ({fx.SMOOTH})")
+def ascii_grid_scan(spark, sf):
+    from ..sinks.surfer import lines
+    from ..sources.raster import RasterSource
+
+    at = mounted(scratch(spark)) + "/raster.asc"
+    with open(at, "w") as f:
+        f.write("ncols 64\nnrows 64\nxllcorner 0\nyllcorner 0\ncellsize 1\nNODATA_value -9999\n")
+        for r in lines(fx.smooth(spark, sf)).orderBy("row").toLocalIterator():
+            f.write(r.line + "\n")
+    spark.dataSource.register(RasterSource)
+    return spark.read.format("raster").option("cellsPerPartition", 640).load(at).select("row", "col", F.round("value", 6).alias("value"))
+
+
+@query("las_scan", f"SELECT round(x, 3) AS x, round(y, 3) AS y, round(z, 3) AS z, (CASE WHEN id % 3 = 0 THEN 2 ELSE 5 END)::INT AS classification FROM ({fx.LATTICE}) WHERE id % 3 = 0")
+def las_scan(spark, sf):
+    from ..sinks.las import write_las
+    from ..sources.points import read_points
+
+    at = mounted(scratch(spark)) + "/points.las"
+    write_las(fx.lattice(spark, sf).withColumn("classification", F.when(F.col("id") % 3 == 0, 2).otherwise(5)), at)
+    return read_points(spark, at).filter("classification = 2").select(*[F.round(c, 3).alias(c) for c in "xyz"], "classification")
+
+
+@query("geoid_scan", f"SELECT x, y, round(undulation, 6) AS undulation FROM ({fx.GEOID})")
+def geoid_scan(spark, sf):
+    from ..sources.points import read_geoid
+
+    at = scratch(spark) + "/geoid"
+    fx.geoid(spark, sf).selectExpr("x", "y", "undulation").write.option("sep", " ").csv(at)
+    return read_geoid(spark, at).select("x", "y", F.round("undulation", 6).alias("undulation"))
+
+
+@query("csv_result", filled_sql("avg(z)", PAIRS).replace(", v.value, coalesce(v.value, -9999.0) AS value_out", ", v.value").replace("SELECT g.row, g.col, ", "SELECT ", 1))
+def csv_result(spark, sf):
+    from ..sinks.tables import write_csv
+
+    at = scratch(spark) + "/grid.csv"
+    write_csv(interpolate(fx.points(spark, sf), settings(method="knn"))[0], at)
+    return spark.read.schema("x double, y double, value double").option("header", True).csv(at).select(*r6("x", "y", "value"))
+
+
+@query("files_end_to_end", f"SELECT row, col, true AS within FROM (SELECT row, col FROM ({nodes_sql(fx.POINTS, RES)}))")
+def files_end_to_end(spark, sf):
+    """Point file to GeoTIFF, that to an archive, and back: within the accuracy of the grid."""
+    from ..sources.raster import read_raster
+    from .files import compress_files, decompress_files, interpolate_files
+
+    at = mounted(scratch(spark))
+    fx.points(spark, sf).select("x", "y", "z").coalesce(1).write.option("header", True).csv(f"{at}/in")
+    part = next(f for f in os.listdir(f"{at}/in") if f.endswith(".csv"))
+    os.rename(f"{at}/in/{part}", f"{at}/in/points.csv")
+    grid = interpolate_files(spark, f"{at}/in/points.csv", settings(method="knn"), f"{at}/grid")
+    compress_files(spark, f"{at}/grid", config(), f"{at}/archive")
+    back = decompress_files(spark, f"{at}/archive", f"{at}/back")
+    one, two = read_raster(spark, grid[0]), read_raster(spark, back[0])
+    return one.withColumnRenamed("value", "v").join(two, ["row", "col"]).select("row", "col", (F.abs(F.col("v") - F.col("value")) <= ACCURACY + 1e-4).alias("within"))

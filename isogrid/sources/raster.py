@@ -14,11 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions.packing import unpack_bits, unpack_lzw
 from .files import expand
 
 SCHEMA = "source_id string, row int, col int, value double"
-SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 16: 8}
-CODES = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q"}
+SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 16: 8, 17: 8, 18: 8}
+CODES = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q", 17: "q", 18: "Q"}
+#: TIFF's compressions that are read: none, LZW, deflate, PackBits, deflate by its old number.
+UNPACK = {1: bytes, 5: unpack_lzw, 8: zlib.decompress, 32773: unpack_bits, 32946: zlib.decompress}
 
 
 @dataclass
@@ -35,20 +38,28 @@ class Raster:
 
 
 def tiff_header(path: str) -> Raster:
+    """Of a TIFF with offsets of four bytes or, BigTIFF, of eight."""
     with open(path, "rb") as f:
         order = {b"II": "<", b"MM": ">"}.get(f.read(2))
-        if order is None or struct.unpack(order + "H", f.read(2))[0] != 42:
-            raise ValueError(f"{path}: not a classic TIFF")
-        f.seek(struct.unpack(order + "I", f.read(4))[0])
+        version = struct.unpack(order + "H", f.read(2))[0] if order else 0
+        if version not in (42, 43):
+            raise ValueError(f"{path}: not a TIFF")
+        big = version == 43
+        count, entry, word = ("Q", "HHQ", "Q") if big else ("H", "HHI", "I")
+        held = struct.calcsize(word)
+        if big:
+            f.seek(8)
+        f.seek(struct.unpack(order + word, f.read(held))[0])
         tags = {}
-        entries = [f.read(12) for _ in range(struct.unpack(order + "H", f.read(2))[0])]
+        number = struct.unpack(order + count, f.read(struct.calcsize(count)))[0]
+        entries = [f.read(struct.calcsize("<" + entry) + held) for _ in range(number)]
         for e in entries:
-            tag, kind, n = struct.unpack(order + "HHI", e[:8])
+            tag, kind, n = struct.unpack(order + entry, e[:-held])
             size = SIZES.get(kind, 1) * n
-            if size <= 4:
-                raw = e[8 : 8 + size]
+            if size <= held:
+                raw = e[-held:][:size]
             else:
-                f.seek(struct.unpack(order + "I", e[8:])[0])
+                f.seek(struct.unpack(order + word, e[-held:])[0])
                 raw = f.read(size)
             tags[tag] = raw.rstrip(b"\0").decode("latin1") if kind == 2 else struct.unpack(f"{order}{n}{CODES[kind]}", raw) if kind in CODES else raw
     scale, tie = tags.get(33550, (1.0, 1.0, 0.0)), tags.get(33922, (0.0,) * 6)
@@ -74,10 +85,10 @@ def tiff_part(path: str, r: Raster, k: int) -> tuple[int, int, np.ndarray]:
     with open(path, "rb") as f:
         f.seek(offsets[k])
         data = f.read(counts[k])
-    if (c := t.get(259, (1,))[0]) in (8, 32946):
-        data = zlib.decompress(data)
-    elif c != 1:
-        raise NotImplementedError(f"{path}: TIFF compression {c}")
+    packing = t.get(259, (1,))[0]
+    if packing not in UNPACK:
+        raise NotImplementedError(f"{path}: TIFF compression {packing}")
+    data = UNPACK[packing](data)
     across = -(-r.width // w)
     row, col = (k // across * h, k % across * w) if tiled else (k * h, 0)
     rows = h if tiled else min(h, r.height - row)
@@ -118,9 +129,21 @@ class Parts(InputPartition):
     path: str
     first: int
     last: int
+    at: int
 
-    def __init__(self, path: str, first: int, last: int):
-        self.path, self.first, self.last = path, first, last
+    def __init__(self, path: str, first: int, last: int, at: int = 0):
+        self.path, self.first, self.last, self.at = path, first, last, at
+
+
+def _line_starts(path: str, step: int) -> list[int]:
+    """Where each step-th row of an ASCII grid begins; the lines are only counted."""
+    skip, at, out = ascii_header(path)[1], 0, []
+    with open(path, "rb") as f:
+        for i, line in enumerate(f):
+            if i >= skip and (i - skip) % step == 0:
+                out.append(at)
+            at += len(line)
+    return out
 
 
 class RasterReader(DataSourceReader):
@@ -133,17 +156,18 @@ class RasterReader(DataSourceReader):
             r = header(path)
             n = r.height if path.lower().endswith(".asc") else len(r.tags.get(324) or r.tags[273])
             step = max(1, self.per * n // max(1, r.height * r.width))
-            out += [Parts(path, a, min(n, a + step)) for a in range(0, n, step)]
+            at = _line_starts(path, step) if path.lower().endswith(".asc") else [0] * -(-n // step)
+            out += [Parts(path, a, min(n, a + step), at[a // step]) for a in range(0, n, step)]
         return out
 
     def read(self, p: Parts) -> Iterator[pa.RecordBatch]:
         name = os.path.basename(p.path)
         if p.path.lower().endswith(".asc"):
-            r, skip = ascii_header(p.path)
-            with open(p.path) as f:
-                for i, line in enumerate(f):
-                    if skip + p.first <= i < skip + p.last:
-                        yield self._batch(name, r, i - skip, 0, np.array(line.split(), float)[None, : r.width])
+            r, _ = ascii_header(p.path)
+            with open(p.path, "rb") as f:
+                f.seek(p.at)
+                for i in range(p.first, p.last):
+                    yield self._batch(name, r, i, 0, np.array(f.readline().split(), float)[None, : r.width])
         else:
             r = tiff_header(p.path)
             for k in range(p.first, p.last):

@@ -165,3 +165,105 @@ def test_ingest(spark, tmp_path):
         ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
         assert spark.read.parquet(str(tmp_path / "out")).count() == k
         (tmp_path / "in/b.csv").write_text("x,y,z\n3,3,3\n")
+
+
+def packed_tiff(path, a, packing, big=False, order="<", strip=4):
+    """Strips of `strip` rows under any of the packings, in a classic TIFF or a BigTIFF."""
+    from isogrid.functions.packing import pack_lzw
+
+    def packbits(b):
+        out, i = b"", 0
+        while i < len(b):
+            n = 1
+            while i + n < len(b) and n < 128 and b[i + n] == b[i]:
+                n += 1
+            out += bytes([257 - n, b[i]]) if n > 1 else bytes([0, b[i]])
+            i += n
+        return out + b"\x80"
+
+    h, w = a.shape
+    f = {1: bytes, 5: pack_lzw, 8: zlib.compress, 32773: packbits}[packing]
+    strips = [f(a[i : i + strip].astype(order + "f4").tobytes()) for i in range(0, h, strip)]
+    head, word = (16, "Q") if big else (8, "I")
+    at = np.cumsum([head, *map(len, strips)]).tolist()
+    kind = 16 if big else 4
+    tags = [(256, 4, [w]), (257, 4, [h]), (258, 3, [32]), (259, 3, [packing]), (273, kind, at[:-1]), (277, 3, [1]), (278, 4, [strip]), (279, kind, [len(s) for s in strips]), (339, 3, [3])]
+    late, entries, ifd = b"", b"", at[-1]
+    size = struct.calcsize("<" + word)
+    base = ifd + (8 if big else 2) + len(tags) * (12 if not big else 20) + size
+    for tag, k, v in tags:
+        raw = struct.pack(f"{order}{len(v)}{ {3: 'H', 4: 'I', 16: 'Q'}[k]}", *v)
+        entries += struct.pack(order + "HH" + word, tag, k, len(v))
+        if len(raw) > size:
+            entries += struct.pack(order + word, base + len(late))
+            late += raw
+        else:
+            entries += raw.ljust(size, b"\0")
+    mark = b"II" if order == "<" else b"MM"
+    start = mark + (struct.pack(order + "HHHQ", 43, 8, 0, ifd) if big else struct.pack(order + "HI", 42, ifd))
+    path.write_bytes(start + b"".join(strips) + struct.pack(order + ("Q" if big else "H"), len(tags)) + entries + b"\0" * size + late)
+
+
+@pytest.mark.parametrize("packing", [1, 5, 8, 32773])
+@pytest.mark.parametrize("big, order", [(False, "<"), (True, "<"), (True, ">")])
+def test_packings_and_big_tiff(spark, tmp_path, packing, big, order):
+    a = np.round(np.random.default_rng(packing).normal(size=(10, 37)), 1).astype(np.float32)
+    a[3:6] = 0
+    packed_tiff(tmp_path / "p.tif", a, packing, big, order)
+    assert np.array_equal(array_of(raster.read_raster(spark, str(tmp_path / "p.tif")), a.shape), a.astype(float))
+
+
+@pytest.mark.parametrize("size, letters", [(0, 1), (1, 2), (700, 1), (9000, 4), (60_000, 256)])
+def test_lzw_round_trip(size, letters):
+    from isogrid.functions.packing import pack_lzw, unpack_lzw
+
+    data = np.random.default_rng(size).integers(0, letters, size).astype(np.uint8).tobytes()
+    assert unpack_lzw(pack_lzw(data)) == data
+
+
+def test_ascii_grid_in_parts(spark, tmp_path):
+    a = np.arange(7 * 5, dtype=float).reshape(7, 5)
+    (tmp_path / "r.asc").write_text("ncols 5\nnrows 7\nxllcorner 0\nyllcorner 0\ncellsize 1\n" + "\n".join(" ".join(map(str, r)) for r in a) + "\n")
+    spark.dataSource.register(raster.RasterSource)
+    df = spark.read.format("raster").option("cellsPerPartition", 10).load(str(tmp_path / "r.asc"))
+    assert df.rdd.getNumPartitions() == 4 and np.array_equal(array_of(df, a.shape), a)
+
+
+def test_files_end_to_end(spark, tmp_path):
+    """A folder of point files: one grid each, less the geoid, and in each format; into one archive, and back."""
+    import dataclasses
+
+    from isogrid.plans.files import compress_files, decompress_files, interpolate_files
+
+    (tmp_path / "in").mkdir()
+    rng = np.random.default_rng(3)
+    for name, level in (("a.csv", 10.0), ("b.txt", 50.0)):
+        rows = [f"{x},{y},{level + 0.1 * x}" for x, y in rng.uniform(0, 12, (150, 2))]
+        (tmp_path / "in" / name).write_text("x,y,z\n" + "\n".join(rows) + "\n")
+    write_shapefile(spark.createDataFrame([(float(x), float(y), 7.0) for x in range(6) for y in range(6)], "x double, y double, z double"), str(tmp_path / "in/c.shp"))
+    cfg = InterpolationConfig(neighbours=5, resolution=1.0, max_distance=6.0)
+    tifs = interpolate_files(spark, str(tmp_path / "in"), cfg, str(tmp_path / "out"), ("tif", "csv", "grd", "shp"))
+    assert sorted(p.rsplit("/", 1)[1] for p in tifs if p.endswith(".tif")) == [grid_name(b, cfg) + ".tif" for b in "abc"] and len(tifs) == 12
+    means = [np.mean([r.value for r in raster.read_raster(spark, f"{tmp_path}/out/{grid_name(b, cfg)}.tif").collect()]) for b in "abc"]
+    assert abs(means[1] - means[0] - 40) < 0.5 and abs(means[2] - 7) < 1e-6
+    (tmp_path / "geoid.txt").write_text("".join(f"{x} {y} 3.0\n" for x in range(0, 13, 4) for y in range(0, 13, 4)))
+    lower = dataclasses.replace(cfg, geoid_file="./geoid.txt", geoid_crs="epsg:2180", geoid_radius=10.0)
+    interpolate_files(spark, str(tmp_path / "in/c.shp"), lower, str(tmp_path / "low"), root=str(tmp_path))
+    assert {r.value for r in raster.read_raster(spark, str(tmp_path / "low")).collect()} == {4.0}
+    missing = dataclasses.replace(cfg, geoid_file="none.txt")
+    with pytest.raises(Exception):
+        interpolate_files(spark, str(tmp_path / "in/c.shp"), missing, str(tmp_path / "x"))
+    interpolate_files(spark, str(tmp_path / "in/c.shp"), missing, str(tmp_path / "skip"), on_geoid_error="skip")
+    assert {r.value for r in raster.read_raster(spark, str(tmp_path / "skip")).collect()} == {7.0}
+    code = CompressionConfig(block=8)
+    for _ in range(2):
+        names = compress_files(spark, f"{tmp_path}/out/*.tif", code, str(tmp_path / "archive"))
+    assert len(names) == 3 and all(n.endswith("_CRS2180_VT") for n in names)
+    back = decompress_files(spark, str(tmp_path / "archive"), str(tmp_path / "back"))
+    assert len(back) == 3
+    for b, p in zip("abc", back):
+        src = f"{tmp_path}/out/{grid_name(b, cfg)}.tif"
+        h, g = raster.header(src), raster.header(p)
+        assert (h.transform, h.crs) == (g.transform, g.crs)
+        shape = (h.height, h.width)
+        assert np.abs(array_of(raster.read_raster(spark, src), shape) - array_of(raster.read_raster(spark, p), shape)).max() <= code.accuracy + 1e-4

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from isogrid.config import InterpolationConfig
-from isogrid.functions.scalars import near_divided
+from isogrid.functions.scalars import cut_to_cells
 from isogrid.operators import clean, estimate, geoid, grid, knn, smooth
 from isogrid.plans.pipelines import interpolate, interpolate_tiles, relational
 
@@ -52,8 +52,8 @@ def check(df, want):
 
 
 @pytest.mark.parametrize("v,res,want", [(10.3, 0.5, 10), (10.76, 0.5, 11), (17, 10, 24), (12, 10, 14), (-3.3, 0.5, -3), (-3.9, 0.5, -3), (10.95, 0.1, 10), (10.3, 0.3, 10)])
-def test_near_divided(spark, v, res, want):
-    assert spark.range(1).select(near_divided(F.lit(float(v)), res)).first()[0] == want
+def test_cut_to_cells(spark, v, res, want):
+    assert spark.range(1).select(cut_to_cells(F.lit(float(v)), res)).first()[0] == want
 
 
 @pytest.mark.parametrize("method,r_min", [("idw", None), ("knn", None), ("idw", 1.0)])
