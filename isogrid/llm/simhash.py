@@ -141,6 +141,16 @@ def near_duplicates(docs: DataFrame, long_list: int = 512) -> DataFrame:
     return rows.join(ids, rows.fp == F.col("_fp"), "left").drop("_fp")
 
 
+def candidates(docs: DataFrame, long_list: int = 512) -> DataFrame:
+    """Pairs (a, b) of text hashes, a < b: texts with equal or linked fingerprints, enough to connect them all. For an exact check that follows."""
+    prints = materialize(fingerprints(docs).select("fp", "text_hash").distinct(), "simhash-texts")
+    heads = prints.groupBy("fp").agg(F.min("text_hash").alias("head"))
+    alike = prints.join(heads, "fp").select(F.col("head").alias("a"), F.col("text_hash").alias("b"))
+    first, second = heads.select(F.col("fp").alias("a"), F.col("head").alias("of_a")), heads.select(F.col("fp").alias("b"), F.col("head").alias("of_b"))
+    linked = links(heads.select("fp"), long_list).join(first, "a").join(second, "b").select(F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b"))
+    return materialize(alike.union(linked).filter("a < b").distinct(), "simhash-candidates")
+
+
 def one_of_each(docs: DataFrame, members: DataFrame | None = None) -> DataFrame:
     """One document of each component, that with the smallest doc_id (of several with it, that with the least hash of its text).
 
