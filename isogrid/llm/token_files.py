@@ -59,6 +59,7 @@ class WordTable:
         self.size, self.count, self.at = np.zeros(n, np.int32), np.zeros(n, np.int32), np.zeros(n, np.int64)
         self.ids, self.used, self.words = np.zeros(1 << 16, dtype), 0, 0
         self.bytes, self.filled, self.byte_at = np.zeros(1 << 16, np.uint8), 0, np.zeros(n, np.int64)
+        self.again = np.zeros(n, bool)  # words that a later batch had too
 
     def find(self, name: np.ndarray, head: np.ndarray, tail: np.ndarray, size: np.ndarray, buf: np.ndarray, start: np.ndarray) -> np.ndarray:
         """Slots of the words of buf that begin at start, -1 where there is none."""
@@ -75,6 +76,20 @@ class WordTable:
             left, slot = left[on], (slot[on] + 1) & ((1 << self.BITS) - 1)
         return out
 
+    def renew(self, most: int, most_bytes: int) -> None:
+        """Keeps only words that came again, most of them at most, and most_bytes of the long ones' bytes."""
+        slot = np.flatnonzero(self.again)
+        slot = slot[np.unique(self.name[slot], return_index=True)[1]][:most]
+        size = self.size[slot].astype(np.int64)
+        slot = slot[np.cumsum(np.where(size > 16, size, 0)) <= most_bytes]
+        name, head, tail, size = (x[slot] for x in (self.name, self.head, self.tail, self.size))
+        ids = [self.ids[a : a + n].tobytes() for a, n in zip(self.at[slot].tolist(), self.count[slot].tolist())]
+        long = np.where(size > 16, size, 0).astype(np.int64)
+        text = b"".join(self.bytes[a : a + n].tobytes() for a, n in zip(self.byte_at[slot].tolist(), long.tolist()) if n)
+        self.__init__(self.ids.dtype)
+        if len(slot):
+            self.add(name, head, tail, size, np.frombuffer(text, np.uint8), np.cumsum(long) - long, ids)
+
     def _equal(self, slot: np.ndarray, size: np.ndarray, buf: np.ndarray, start: np.ndarray) -> np.ndarray:
         """Whether the long words kept at slot are those of buf at start, byte by byte, some megabytes at a time."""
         out = np.zeros(len(slot), bool)
@@ -117,7 +132,8 @@ class WordTable:
 class Encoder:
     """Ids of texts as bytes.
 
-    Words are kept with their ids, CACHE of them and a batch's at most. New words of Latin letters, with marks after them or
+    Words are kept with their ids, CACHE of them and a batch's at most; when they are full, those that came again stay, half of
+    that at most. New words of Latin letters, with marks after them or
     none, are encoded many at a time and told apart by the ids that end words; any other word is encoded by itself.
     """
 
@@ -186,8 +202,9 @@ class Encoder:
         cut = (np.uint64(64) - np.minimum(size, 8).astype(np.uint64) * np.uint64(8))
         key = [np.maximum(Names(buf).of(start, end), np.uint64(1)), eight[start + 8] << cut, eight[end] >> cut, size]
         if self.table.words > CACHE or self.table.filled > KEPT:
-            self.table = WordTable(self.dtype)
+            self.table.renew(CACHE // 2, KEPT // 2)
         slot = self.table.find(*key, buf, start)
+        self.table.again[slot[slot >= 0]] = True
         while len(new := np.flatnonzero(slot < 0)):
             if len(new) > (1 << WordTable.BITS - 1) - self.table.words:  # a batch of very many words goes in halves
                 half = len(texts) // 2

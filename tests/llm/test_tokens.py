@@ -137,3 +137,21 @@ def test_frequent_doc_id_and_long_text(spark, tmp_path):
         at += r.n_tokens
     ids = [r.doc_id for r in sorted(rows, key=lambda r: r.start)]
     assert ids == sorted(ids, key=lambda x: (x is not None, x or 0))
+
+
+def test_words_that_came_again_outlast_a_full_table(monkeypatch):
+    """They are not encoded anew, also long ones; words seen once go, and all ids stay those of the whole text."""
+    monkeypatch.setattr(tf, "CACHE", 60)
+    encoder = tf.Encoder(PATH, 2, True)
+    common = ["anthology", "river,", "it's", "é", "a" * 30, "q" * 16 + "-" + "z" * 20 + "!"]
+    asked, new = [], encoder._new
+    monkeypatch.setattr(encoder, "_new", lambda words, pieces: asked.extend(w.decode() for w in words) or new(words, pieces))
+    for k in range(12):
+        text = " ".join(common + [f"w{k}x{i}" for i in range(25)])
+        (data,) = encoder.encode([text.encode()])
+        assert np.frombuffer(data, "<u2").tolist() + [2] == encode(text)
+        assert encoder.table.words <= 60 + 31
+    assert [asked.count(w) for w in common] == [1] * len(common)
+    table = encoder.table
+    table.renew(2, 0)
+    assert table.words <= 2 and not table.filled
