@@ -122,10 +122,12 @@ def links(prints: DataFrame, long_list: int = 512) -> DataFrame:
     a, b = short.select("key", F.col("fp").alias("a")), short.select("key", F.col("fp").alias("b"))
     tallied = a.join(b, "key").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= MINIMUM)
     pairs = tallied.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MOST).select("a", "b")
-    hot = postings(held.filter(F.col("n") > long_list).select("fp").distinct(), BLOCKS)
+    # Spark takes variants to be as few bytes as hot: it would make them in one task, and send them all through the driver for a broadcast
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = postings(held.filter(F.col("n") > long_list).select("fp").distinct(), BLOCKS).repartition(tasks)
     variants = hot.mapInArrow(_variants, "fp long, key long, value long, near boolean")
     centres = variants.groupBy("key", "value").agg(F.min(F.when(F.col("near"), F.col("fp"))).alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND a IS NOT NULL").select("key", "value", "a")
-    stars = variants.join(centres, ["key", "value"]).select("a", F.col("fp").alias("b")).filter("a <> b")
+    stars = variants.join(centres.hint("merge"), ["key", "value"]).select("a", F.col("fp").alias("b")).filter("a <> b")
     return pairs.union(stars).distinct()
 
 

@@ -96,6 +96,19 @@ def test_links_reach_all_pairs(spark, long_list):
     assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
 
 
+def test_variants_of_long_lists_are_not_broadcast(spark):
+    """They are thousands of rows a fingerprint, which Spark's estimate doesn't know: a broadcast would hold them all in the driver."""
+    x = random.Random(5).getrandbits(63)
+    prints = [x, *(x ^ 1 << i for i in range(63)), *(x ^ 1 << i ^ 1 << j for i, j in combinations(range(16), 2))]
+    df = spark.createDataFrame([(p,) for p in prints], "fp long")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "16m")
+    try:
+        found = {r.node: r.root for r in components(simhash.links(df, 4)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert found == dict.fromkeys(prints, min(prints))
+
+
 def test_components_of_paths_and_stars(spark):
     rng = random.Random(3)
     nodes = list(range(400))
