@@ -78,3 +78,21 @@ def test_registered():
 
     names = [n for n in e.queries() if n.startswith("op")]
     assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 11)} and "pipeline" in e.queries()
+
+
+def test_near_copies_of_one_text_are_not_broadcast(spark):
+    """Long lists of fingerprints make thousands of variants each; the stage takes SimHash's links without sending those through the driver."""
+    rng = random.Random(7)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    rows = []
+    for i in range(600):
+        w = list(words)
+        w[rng.randrange(400)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "16m")
+    try:
+        pairs = corpus_pipeline.simhash.candidates(docs, 4)  # written at once
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert [r.doc_id for r in corpus_pipeline.simhash.one_of_each(docs, corpus_pipeline.shingles.near_duplicates(docs, pairs)).collect()] == [0]
